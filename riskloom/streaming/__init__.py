@@ -1,0 +1 @@
+"""No streaming operators: every source in scope is a bounded batch table with integer time offsets."""
