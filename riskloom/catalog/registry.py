@@ -7,14 +7,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from riskloom.functions.scalar import tie_safe_round
 from riskloom.sources.views import VIEWS, Tables, duck_ctes
 
-MODULES = ["scans", "projections", "joins", "rollups", "ordering", "sets", "partitions", "metric_checks"]
+MODULES = ["scans", "projections", "joins", "rollups", "ordering", "sets", "partitions", "metric_checks", "encoding", "forest_checks"]
 
 
 @dataclass(frozen=True)
@@ -56,10 +54,6 @@ def load_all() -> dict[str, Query]:
 
 
 # -------------------------------------------------------------------------------------------------- shared formatting
-def rnd(c: str | Column, digits: int = 6) -> Column:
-    return tie_safe_round(c, digits)
-
-
 def sql_rnd(expr: str, digits: int = 6) -> str:
     return f"round(({expr}) + {3.7e-4 * 10.0**-digits!r}, {digits})"
 
@@ -72,10 +66,10 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     type."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and special.get(f.name, digits) != EXACT:
-            c = rnd(c.cast("double"), special.get(f.name, digits))
+        c, d = f"`{f.name}`", special.get(f.name, digits)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and d != EXACT:
+            c = f"round(cast({c} as double) + {3.7e-4 * 10.0**-d!r}d, {d}) as {c}"
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(out)
+            c = f"cast({c} as bigint) as {c}"
+        out.append(c)
+    return df.selectExpr(*out)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from riskloom.catalog.projections import INSTALLMENT_SQL
-from riskloom.catalog.registry import query, rnd, rounded, sql_rnd
+from riskloom.catalog.registry import query, rounded, sql_rnd
 from riskloom.functions.scalar import clean_name
 from riskloom.operators import summaries as M
 from riskloom.operators.ordered import group_quantiles
@@ -18,15 +18,7 @@ def digits_for(name: str) -> int:
 
 def round_named(df):
     """Doubles rounded by name; other integers as bigint."""
-    out = []
-    for f in df.schema.fields:
-        c, kind = F.col(f.name), f.dataType.simpleString()
-        if kind in ("double", "float"):
-            c = rnd(c.cast("double"), digits_for(f.name))
-        elif kind == "int":
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(out)
+    return rounded(df, **{c: digits_for(c) for c in df.columns})
 
 
 def sql_stat(col: str, stat: str, where: str | None = None) -> str:
@@ -159,7 +151,7 @@ def row_count(t):
     *sql_items("BURO", {"AMT_CREDIT_SUM_DEBT": ["sum", "max"], "AMT_ANNUITY": ["sum"]}, "CREDIT_ACTIVE = 'Sold'", "_SOLD")], "SK_ID_CURR", "bureau"))
 def filtered_subsets(t):
     spec = {"AMT_CREDIT_SUM_DEBT": ["sum", "max"], "AMT_ANNUITY": ["sum"]}
-    subsets = {"ACTIVE": F.col("CREDIT_ACTIVE") == "Active", "SOLD": F.col("CREDIT_ACTIVE") == "Sold"}
+    subsets = {"ACTIVE": "CREDIT_ACTIVE <=> 'Active'", "SOLD": "CREDIT_ACTIVE <=> 'Sold'"}
     return round_named(Rollup("SK_ID_CURR", "BURO", {}, subsets=subsets, subset_spec=spec).apply(t.bureau))
 
 

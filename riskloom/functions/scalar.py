@@ -26,7 +26,8 @@ def finite(c: str | Column) -> Column:
 def finite_all(df: DataFrame) -> DataFrame:
     """``finite`` on every float/double column."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, FLOATING)]
-    return df.withColumns({n: finite(n) for n in names}) if names else df
+    text = "if(isnan(`{0}`) or abs(`{0}`) = double('infinity'), null, `{0}`)"
+    return df.withColumns({n: F.expr(text.format(n)) for n in names}) if names else df
 
 
 def sentinel_flag(c: str | Column, sentinel) -> Column:
@@ -141,12 +142,12 @@ def clean_name(name: str) -> str:
     return re.sub(r"[^A-Z0-9_]+", "_", name.upper())
 
 
-def keep_first_names(exprs: Iterable[tuple[str, Column]]) -> list[Column]:
-    """Aliased expressions, dropping later ones whose cleaned name is already taken."""
-    seen: dict[str, Column] = {}
-    for name, expr in exprs:
+def keep_first_names(named: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Cleaned names with their expressions, dropping later ones whose cleaned name is already taken."""
+    seen: dict[str, str] = {}
+    for name, expr in named:
         seen.setdefault(clean_name(name), expr)
-    return [expr.alias(name) for name, expr in seen.items()]
+    return list(seen.items())
 
 
 def downcast(df: DataFrame, id_prefix: str = "SK_ID") -> DataFrame:

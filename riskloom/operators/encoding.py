@@ -14,6 +14,7 @@ from riskloom.functions import scalar as S
 from riskloom.functions.hashing import uniform
 from riskloom.operators.contracts import ContractError
 from riskloom.operators.ordered import assign_by_cuts, group_quantiles
+from riskloom.session import materialise
 
 OTHER, MISSING, INFREQUENT = "__OTHER__", "__MISSING__", "infrequent_sklearn"
 FILL = "MISSING"
@@ -145,7 +146,7 @@ def encode_nodes(nodes, train_ids: DataFrame, columns, max_rows: int = 1_000_000
     for kind, df in nodes.items():
         num, cat = columns(kind, df)
         train = df.join(train_ids.select(F.col("SK_ID_CURR").alias("root_id")), "root_id", "left_semi")
-        sample = fit_sample(train.select("root_id", *num, *cat), ["root_id", *num], max_rows, seed)
+        sample = materialise(fit_sample(train.select("root_id", *num, *cat), ["root_id", *num], max_rows, seed), f"fit-{kind}")
         out[kind] = fit_pooled(sample, num, cat, **fit)
     return out
 

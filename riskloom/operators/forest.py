@@ -259,10 +259,12 @@ def with_roots(nodes: Nodes) -> Nodes:
     return out
 
 
-def event_ids(events: DataFrame, salt: str) -> DataFrame:
+def event_ids(events: DataFrame) -> DataFrame:
     """``event_id``: dense number in the order of a row hash; identical rows are interchangeable."""
-    text = F.to_json(F.struct(*events.columns))
-    keyed = events.withColumn("_u", uniform(salt, text)).withColumn("_t", F.md5(text))
+    cols = events.columns
+    keyed = events.withColumns(
+        {"_u": F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52)), "_t": F.xxhash64(F.lit(1), *cols)}
+    )
     return hashed_rank(keyed, [], "_u", "_t", "event_id").drop("_u", "_t")
 
 
@@ -296,40 +298,38 @@ def with_reverse(forward: DataFrame) -> DataFrame:
 
 def validate_forest(nodes: Mapping[str, DataFrame], edge: DataFrame) -> DataFrame:
     """Per relation: edges, edges with an unknown parent, children without exactly one parent, edges that differ from
-    their reverse, and edges that connect two customers' trees."""
-    parts = []
+    their reverse, and edges that connect two customers' trees. All relations in one pass: forward and reverse edges meet
+    in one grouping, parents and children are looked up once."""
+    backward = F.col("rel").startswith("rev_")
+    oriented = edge.select(
+        F.when(backward, F.substring("rel", 5, 1000)).otherwise(F.col("rel")).alias("rel"),
+        F.when(backward, F.col("dst")).otherwise(F.col("src")).alias("src"),
+        F.when(backward, F.col("src")).otherwise(F.col("dst")).alias("dst"),
+        "root_id", backward.cast("int").alias("back"),
+    )
+    pairs = oriented.groupBy("rel", "src", "dst", "root_id").agg(F.sum(1 - F.col("back")).alias("f"), F.sum("back").alias("r"))
+    parents = children = None
     for r in RELATIONS:
-        fwd = edge.filter(F.col("rel") == r.name)
-        rev = edge.filter(F.col("rel") == f"rev_{r.name}")
         pid = ROOT if r.parent == CUSTOMER else LOAN
         cid = {BUREAU: "SK_ID_BUREAU", PREV: LOAN}.get(r.child, "event_id")
-        both = fwd.select("src", "dst", "root_id", F.lit(1).alias("f"), F.lit(0).alias("r")).unionByName(
-            rev.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "root_id", F.lit(0).alias("f"), F.lit(1).alias("r"))
-        )
-        pairs = both.groupBy("src", "dst", "root_id").agg(F.sum("f").alias("f"), F.sum("r").alias("r"))
-        known = nodes[r.parent].groupBy(F.col(pid).alias("src"), F.col(ROOT).alias("root_id")).agg(F.lit(1).alias("known"))
-        per_pair = pairs.join(known, ["src", "root_id"], "left").agg(
-            F.coalesce(F.sum("f"), F.lit(0)).alias("edges"),
-            F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("f"))), F.lit(0)).alias("edges_without_parent"),
-            F.count_if(F.col("f") != F.col("r")).alias("reverse_differences"),
-        )
-        children = nodes[r.child].groupBy(F.col(cid).alias("dst"), F.col(ROOT).alias("root_id")).agg(F.count(F.lit(1)).alias("n"))
-        degree = fwd.groupBy("dst", "root_id").agg(F.count(F.lit(1)).alias("d"))
-        per_child = children.join(degree, ["dst", "root_id"], "full_outer").agg(
-            F.count_if(~F.coalesce((F.col("n") == 1) & (F.col("d") == 1), F.lit(False))).alias("children_without_one_parent")
-        )
-        cross = F.count_if(F.col("src") != F.col("root_id")) if r.parent == CUSTOMER else F.count_if(F.lit(False))
-        per_root = fwd.agg(cross.alias("cross_customer_edges"))
-        parts.append(
-            per_pair.select(
-                F.lit(f"{r.parent}->{r.child}").alias("relation"), "*",
-                per_child.scalar().alias("children_without_one_parent"), per_root.scalar().alias("cross_customer_edges"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        up = nodes[r.parent].select(F.lit(r.name).alias("rel"), F.col(pid).alias("src"), F.col(ROOT).alias("root_id"))
+        down = nodes[r.child].select(F.lit(r.name).alias("rel"), F.col(cid).alias("dst"), F.col(ROOT).alias("root_id"))
+        parents = up if parents is None else parents.unionByName(up)
+        children = down if children is None else children.unionByName(down)
+    known = parents.distinct().withColumn("known", F.lit(1))
+    to_customer = F.col("rel").isin([r.name for r in RELATIONS if r.parent == CUSTOMER])
+    per_edge = pairs.join(known, ["rel", "src", "root_id"], "left").groupBy("rel").agg(
+        F.sum("f").alias("edges"),
+        F.sum(F.when(F.col("known").isNull(), F.col("f")).otherwise(F.lit(0))).alias("edges_without_parent"),
+        F.count_if(F.col("f") != F.col("r")).alias("reverse_differences"),
+        F.sum(F.when(to_customer & (F.col("src") != F.col("root_id")), F.col("f")).otherwise(F.lit(0))).alias("cross_customer_edges"),
+    )
+    degree = pairs.groupBy("rel", "dst", "root_id").agg(F.sum("f").alias("d"))
+    seen = children.groupBy("rel", "dst", "root_id").agg(F.count(F.lit(1)).alias("n"))
+    one = F.coalesce((F.col("n") == 1) & (F.col("d") == 1), F.lit(False))
+    per_child = seen.join(degree, ["rel", "dst", "root_id"], "full_outer").groupBy("rel").agg(F.count_if(~one).alias("children_without_one_parent"))
+    names = F.create_map(*[F.lit(x) for r in RELATIONS for x in (r.name, f"{r.parent}->{r.child}")])
+    return per_child.join(per_edge, "rel", "left").select(F.element_at(names, F.col("rel")).alias("relation"), *per_edge.columns[1:], "children_without_one_parent")
 
 
 def require_valid_forest(nodes: Mapping[str, DataFrame], edge: DataFrame) -> DataFrame:

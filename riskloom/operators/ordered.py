@@ -121,8 +121,10 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, long form (groups, column, prob, value); NULL ignored, no value -> NULL.
 
-    The number of groups must be modest (institutions, node types): the bracket table has one row per group and is
-    written once, so that both uses below see the same brackets."""
+    The sketch's rank error is at most 1/accuracy of the rows and the bracket is twice as wide, so the two ranks a
+    quantile interpolates lie inside the bracket or are its direct neighbours, which are kept too. The number of groups
+    must be modest (institutions, node types): the bracket table has one row per group and is written once, so that both
+    uses below see the same brackets."""
     groups, columns, probs = list(groups), list(columns), [float(p) for p in probs]
     work = df.select(*groups, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     for g in groups:
@@ -150,6 +152,8 @@ def group_quantiles(
 
     below = row.groupBy(*keys).agg(
         *[F.count_if(F.col(f"_x{i}") < low(i, j)).alias(f"_l{i}_{j}") for i, j in cells],
+        *[F.max(F.when(F.col(f"_x{i}") < low(i, j), F.col(f"_x{i}"))).alias(f"_p{i}_{j}") for i, j in cells],
+        *[F.min(F.when(F.col(f"_x{i}") > high(i, j), F.col(f"_x{i}"))).alias(f"_q{i}_{j}") for i, j in cells],
         *[F.max(f"_n{i}").alias(f"_m{i}") for i in range(len(columns))],
     )
     below = below.select(
@@ -159,6 +163,7 @@ def group_quantiles(
                 *[
                     F.struct(
                         F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_l{i}_{j}").alias("_below"),
+                        F.col(f"_p{i}_{j}").alias("_prev"), F.col(f"_q{i}_{j}").alias("_next"),
                         F.col(f"_m{i}").alias("_n"), F.lit(probs[j]).alias("prob"),
                     )
                     for i, j in cells
@@ -188,10 +193,14 @@ def group_quantiles(
         F.max(F.when((first <= F.floor(h)) & (F.floor(h) <= last), F.col("_v"))).alias("_lo"),
         F.max(F.when((first <= F.ceil(h)) & (F.ceil(h) <= last), F.col("_v"))).alias("_hi"),
     )
+
+    def at_rank(rank: Column, hit: str) -> Column:
+        return F.coalesce(hit, F.when(rank < F.col("_below"), F.col("_prev")).otherwise(F.col("_next")))
+
     names = F.array(*[F.lit(c) for c in columns])
     return (
         below.join(picked, cell, "left")
-        .withColumn("_frac", h - F.floor(h))
+        .withColumns({"_frac": h - F.floor(h), "_lo": at_rank(F.floor(h), "_lo"), "_hi": at_rank(F.ceil(h), "_hi")})
         .select(
             *groups,
             F.element_at(names, F.col("_i") + 1).alias("column"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import clean_name, keep_first_names
@@ -17,36 +17,37 @@ from riskloom.functions.scalar import clean_name, keep_first_names
 Spec = Mapping[str, Sequence[str]]
 
 
-def stat_expr(column: str, stat: str, where: Column | None = None) -> Column:
-    """One aggregate; mean is written as sum/count so that Catalyst computes a shared sum and count only once."""
-    c = F.col(column)
-    x = c if where is None else F.when(where, c)
-    number = x.cast("double")
-    some = None if where is None else F.count_if(where) > 0
-    if stat == "min":
-        return F.min(x).cast("double")
-    if stat == "max":
-        return F.max(x).cast("double")
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def stat_sql(column: str, stat: str, where: str | None = None) -> str:
+    """One aggregate as SQL text (a wide rollup has hundreds; parsing text is far cheaper than building each expression
+    call by call). Mean is written as sum/count, so that a shared sum and count are computed once."""
+    c = f"`{column}`"
+    x = c if where is None else f"if({where}, {c}, null)"
+    number = f"cast({x} as double)"
+    if stat in ("min", "max"):
+        return f"cast({stat}({x}) as double)"
     if stat == "mean":
-        return F.try_divide(F.sum(number), F.count(x).cast("double"))
+        return f"try_divide(sum({number}), cast(count({x}) as double))"
     if stat == "var":
-        return F.var_samp(number)
-    if stat == "sum":
-        total = F.coalesce(F.sum(number), F.lit(0.0))
-        return total if some is None else F.when(some, total)
-    if stat == "size":
-        return F.count(F.lit(1)) if where is None else F.when(some, F.count_if(where))
-    if stat == "count":
-        return F.count(x) if where is None else F.when(some, F.count(x))
-    if stat == "nunique":
-        return F.count_distinct(x) if where is None else F.when(some, F.count_distinct(x))
-    raise ValueError(f"unknown statistic: {stat}")
-
-
-def share_expr(column: str, value: str | None) -> Column:
+        return f"var_samp({number})"
+    by_stat = {
+        "sum": f"coalesce(sum({number}), 0d)",
+        "size": "count(1)" if where is None else f"count_if({where})",
+        "count": f"count({x})",
+        "nunique": f"count(distinct {x})",
+    }
+    if stat not in by_stat:
+        raise ValueError(f"unknown statistic: {stat}")
+    return by_stat[stat] if where is None else f"if(count_if({where}) > 0, {by_stat[stat]}, null)"
+
+
+def share_sql(column: str, value: str | None) -> str:
     """Share of the group's rows holding ``value`` (None: missing); missing rows count in the denominator."""
-    hit = F.col(column).isNull() if value is None else F.col(column).eqNullSafe(F.lit(value))
-    return F.sum(hit.cast("int")) / F.count(F.lit(1))
+    hit = f"`{column}` is null" if value is None else f"`{column}` <=> {quoted(value)}"
+    return f"sum(cast({hit} as int)) / count(1)"
 
 
 @dataclass(frozen=True)
@@ -56,26 +57,24 @@ class Rollup:
     spec: Spec
     categories: Mapping[str, Sequence[str]] = field(default_factory=dict)
     count_name: str | None = None
-    subsets: Mapping[str, Column] = field(default_factory=dict)
+    subsets: Mapping[str, str] = field(default_factory=dict)  # name -> SQL condition
     subset_spec: Spec | None = None
 
-    def named_exprs(self) -> list[tuple[str, Column]]:
-        out = [(f"{self.prefix}_{c}_{s}", stat_expr(c, s)) for c, stats in self.spec.items() for s in stats]
+    def named_sql(self) -> list[tuple[str, str]]:
+        out = [(f"{self.prefix}_{c}_{s}", stat_sql(c, s)) for c, stats in self.spec.items() for s in stats]
         for c, values in self.categories.items():
-            out += [(f"{self.prefix}_{c}_{v}_MEAN", share_expr(c, v)) for v in values]
-            out.append((f"{self.prefix}_{c}_nan_MEAN", share_expr(c, None)))
+            out += [(f"{self.prefix}_{c}_{v}_MEAN", share_sql(c, v)) for v in values]
+            out.append((f"{self.prefix}_{c}_nan_MEAN", share_sql(c, None)))
         if self.count_name:
-            out.append((self.count_name, F.count(F.lit(1))))
+            out.append((self.count_name, "count(1)"))
         spec = self.spec if self.subset_spec is None else self.subset_spec
         for name, cond in self.subsets.items():
-            hit = F.coalesce(cond, F.lit(False))
-            out += [(f"{self.prefix}_{name}_{c}_{s}", stat_expr(c, s, hit)) for c, stats in spec.items() for s in stats]
+            out += [(f"{self.prefix}_{name}_{c}_{s}", stat_sql(c, s, cond)) for c, stats in spec.items() for s in stats]
         return out
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return (
-            df.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(*keep_first_names(self.named_exprs()))
-        )
+        named = keep_first_names(self.named_sql())
+        return df.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(*[F.expr(f"{e} as `{n}`") for n, e in named])
 
 
 def vocabularies(df: DataFrame, columns: Sequence[str], max_values: int = 5000) -> dict[str, list[str]]:

@@ -198,17 +198,15 @@ def rollup_bureau(bureau: DataFrame, bb: DataFrame, vocab: Vocab | None = None)
     words = _vocab(bureau, BUREAU_CATEGORIES, vocab)
     rolled = Rollup(
         KEY, "BURO", BUREAU_SPEC, words, "BURO_COUNT",
-        {"ACTIVE": F.col("CREDIT_ACTIVE") == "Active", "CLOSED": F.col("CREDIT_ACTIVE") == "Closed"},
+        {"ACTIVE": "CREDIT_ACTIVE <=> 'Active'", "CLOSED": "CREDIT_ACTIVE <=> 'Closed'"},
     )
     return rolled.apply(bureau_with_history(bureau, bb, vocab))
 
 
 def rollup_previous(prev: DataFrame, vocab: Vocab | None = None) -> DataFrame:
     words = _vocab(prev, PREVIOUS_CATEGORIES, vocab)
-    status = F.col("NAME_CONTRACT_STATUS")
-    rolled = Rollup(
-        KEY, "PREV", PREVIOUS_SPEC, words, "PREV_COUNT", {"APPROVED": status == "Approved", "REFUSED": status == "Refused"}
-    )
+    subsets = {"APPROVED": "NAME_CONTRACT_STATUS <=> 'Approved'", "REFUSED": "NAME_CONTRACT_STATUS <=> 'Refused'"}
+    rolled = Rollup(KEY, "PREV", PREVIOUS_SPEC, words, "PREV_COUNT", subsets)
     return rolled.apply(clean_previous(prev))
 
 
