@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from riskloom.sources.views import VIEWS, Tables, duck_ctes
 
-MODULES = ["scans", "projections", "joins", "rollups", "ordering", "sets", "partitions", "metric_checks", "encoding", "forest_checks"]
+MODULES = ["scans", "projections", "joins", "rollups", "ordering", "sets", "partitions", "metric_checks", "encoding", "forest_checks", "model_checks", "shift_checks"]
 
 
 @dataclass(frozen=True)
