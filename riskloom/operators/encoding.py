@@ -14,6 +14,7 @@ from riskloom.functions import scalar as S
 from riskloom.functions.hashing import uniform
 from riskloom.operators.contracts import ContractError
 from riskloom.operators.ordered import assign_by_cuts, group_quantiles
+from riskloom.operators.rollup import quoted, vocabularies
 from riskloom.session import materialise
 
 OTHER, MISSING, INFREQUENT = "__OTHER__", "__MISSING__", "infrequent_sklearn"
@@ -42,6 +43,27 @@ def fit_sample(df: DataFrame, key: Sequence[str], max_rows: int, seed: int, grou
     return kept.select(df.columns)
 
 
+def double(x: float | None) -> str:
+    return "cast(null as double)" if x is None else f"double('{x!r}')"
+
+
+def finite_sql(name: str) -> str:
+    """NaN and infinities as NULL, as SQL text (encoders have hundreds of columns; text is cheap to build)."""
+    c = f"cast(`{name}` as double)"
+    return f"if(isnan({c}) or abs({c}) = double('infinity'), null, {c})"
+
+
+def clip_sql(name: str, low: float | None, high: float | None) -> str:
+    """Finite value clipped to [low, high]; a missing limit does not clip, a missing value stays missing."""
+    x = finite_sql(name)
+    bounded = x
+    if low is not None:
+        bounded = f"greatest({bounded}, {double(low)})"
+    if high is not None:
+        bounded = f"least({bounded}, {double(high)})"
+    return f"if({x} is null, null, {bounded})"
+
+
 # ----------------------------------------------------------------------------------------------------- pooled encoder
 @dataclass(frozen=True)
 class NumericStats:
@@ -56,10 +78,13 @@ class NumericStats:
     indicator_scale: float = 1.0
 
     def clipped(self) -> Column:
-        return S.clip(S.finite(F.col(self.name).cast("double")), self.low, self.high)
+        return F.expr(clip_sql(self.name, self.low, self.high))
+
+    def filled_sql(self) -> str:
+        return f"coalesce({clip_sql(self.name, self.low, self.high)}, {double(self.median)})"
 
     def filled(self) -> Column:
-        return F.coalesce(self.clipped(), F.lit(self.median))
+        return F.expr(self.filled_sql())
 
 
 @dataclass(frozen=True)
@@ -77,37 +102,42 @@ class PooledEncoder:
     numeric: tuple[NumericStats, ...]
     categorical: tuple[CategoryStats, ...]
 
-    def named(self) -> list[tuple[str, Column]]:
+    def named(self) -> list[tuple[str, str]]:
+        """(name, SQL text) of every encoded column, in order: numbers, indicators, categories."""
         out = []
         for s in self.numeric:
             if s.median is not None:
-                out.append((s.name, (s.filled() - F.lit(s.mean)) / F.lit(s.scale)))
+                out.append((s.name, f"({s.filled_sql()} - {double(s.mean)}) / {double(s.scale)}"))
         for s in self.numeric:
             if s.missing:
-                flag = S.finite(F.col(s.name).cast("double")).isNull().cast("double")
-                out.append((f"missingindicator_{s.name}", (flag - F.lit(s.indicator_mean)) / F.lit(s.indicator_scale)))
+                flag = f"cast({finite_sql(s.name)} is null as double)"
+                out.append((f"missingindicator_{s.name}", f"({flag} - {double(s.indicator_mean)}) / {double(s.indicator_scale)}"))
         for c in self.categorical:
-            value = F.coalesce(F.col(c.name).cast("string"), F.lit(FILL))
-            out += [(f"{c.name}_{v}", (value == v).cast("double")) for v in c.kept]
+            value = f"coalesce(cast(`{c.name}` as string), {quoted(FILL)})"
+            out += [(f"{c.name}_{v}", f"cast({value} = {quoted(v)} as double)") for v in c.kept]
             if c.has_infrequent:
-                out.append((f"{c.name}_{INFREQUENT}", (~value.isin(list(c.kept))).cast("double")))
+                known = ", ".join(quoted(v) for v in c.kept)
+                out.append((f"{c.name}_{INFREQUENT}", f"cast({value} not in ({known}) as double)" if c.kept else "1d"))
         return out
 
     def names(self) -> list[str]:
         return [n for n, _ in self.named()]
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return df.select(*keep, *[c.alias(n) for n, c in self.named()])
+        return df.selectExpr(*keep, *[f"{e} as `{n}`" for n, e in self.named()])
 
     def transform_array(self, df: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
-        return df.select(*keep, F.array(*[c.cast("float") for _, c in self.named()]).alias(out))
+        cells = ", ".join(f"cast({e} as float)" for _, e in self.named())
+        return df.selectExpr(*keep, f"array({cells}) as `{out}`")
 
 
 def fit_pooled(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], clip=(0.01, 0.99), min_frequency: float = 0.005
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], clip=(0.01, 0.99), min_frequency: float = 0.005, stored: bool = False
 ) -> PooledEncoder:
+    """Fitting makes several passes, so the needed columns are written once first, unless ``df`` is ``stored`` already."""
     num = list(numeric)
-    x = df.select(*[S.finite(F.col(c).cast("double")).alias(c) for c in num], *categorical)
+    x = df.selectExpr(*[f"{finite_sql(c)} as `{c}`" for c in num], *[f"`{c}`" for c in categorical])
+    x = x if stored else materialise(x, "fit")
     stats: list[NumericStats] = []
     n_rows = 0
     if num:
@@ -117,7 +147,7 @@ def fit_pooled(
         for i, c in enumerate(num):
             stats.append(NumericStats(c, q.get((c, clip[0])), q.get((c, clip[1])), q.get((c, 0.5)), counts[f"c{i}"] < n_rows))
         live = [s for s in stats if s.median is not None]
-        row = x.agg(*[a for i, s in enumerate(live) for a in (F.avg(s.filled()).alias(f"m{i}"), F.stddev_pop(s.filled()).alias(f"s{i}"))]).first() if live else None
+        row = x.agg(*[F.expr(f"{f}({s.filled_sql()}) as {a}{i}") for i, s in enumerate(live) for f, a in (("avg", "m"), ("stddev_pop", "s"))]).first() if live else None
         moments = {s.name: (row[f"m{i}"], row[f"s{i}"]) for i, s in enumerate(live)}
         scaled = []
         for i, s in enumerate(stats):
@@ -147,14 +177,12 @@ def encode_nodes(nodes, train_ids: DataFrame, columns, max_rows: int = 1_000_000
         num, cat = columns(kind, df)
         train = df.join(train_ids.select(F.col("SK_ID_CURR").alias("root_id")), "root_id", "left_semi")
         sample = materialise(fit_sample(train.select("root_id", *num, *cat), ["root_id", *num], max_rows, seed), f"fit-{kind}")
-        out[kind] = fit_pooled(sample, num, cat, **fit)
+        out[kind] = fit_pooled(sample, num, cat, stored=True, **fit)
     return out
 
 
 # ------------------------------------------------------------------------------------------------- ordered categories
 def fit_domains(df: DataFrame, columns: Sequence[str], max_values: int = 100_000) -> dict[str, list[str]]:
-    from riskloom.operators.rollup import vocabularies
-
     return vocabularies(df, columns, max_values)
 
 
@@ -172,7 +200,7 @@ def round1_numeric(
     df: DataFrame, client: str, numeric: Sequence[str], clip=(0.01, 0.99), max_rows: int | None = None, key: Sequence[str] = (), seed: int = 42
 ) -> DataFrame:
     """Per client and column: n, non-missing count, quantiles (low, median, high), has_missing. All clients at once."""
-    x = df.select(client, *key, *[S.finite(F.col(c).cast("double")).alias(c) for c in numeric])
+    x = df.selectExpr(client, *[k for k in key if k not in numeric], *[f"{finite_sql(c)} as `{c}`" for c in numeric])
     per = x.groupBy(client).agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(numeric)])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("nonnull")) for i, c in enumerate(numeric)])
     counts = per.select(client, "n", F.inline(cells)).withColumn("has_missing", F.col("nonnull") < F.col("n"))
@@ -222,10 +250,10 @@ class SharedNumeric:
     mean: float = 0.0
     std: float = 1.0
 
-    def filled(self) -> Column:
+    def filled_sql(self) -> str:
         low = None if self.low == -S.INF else self.low
         high = None if self.high == S.INF else self.high
-        return F.coalesce(S.clip(S.finite(F.col(self.name).cast("double")), low, high), F.lit(self.median))
+        return f"coalesce({clip_sql(self.name, low, high)}, {double(self.median)})"
 
 
 @dataclass(frozen=True)
@@ -235,34 +263,35 @@ class SharedEncoder:
     numeric: tuple[SharedNumeric, ...]
     vocab: dict[str, list[str]]
 
-    def named(self) -> list[tuple[str, Column]]:
-        out = [(s.name, (s.filled() - F.lit(s.mean)) / F.lit(s.std)) for s in self.numeric]
-        out += [
-            (f"{s.name}_missingindicator", S.finite(F.col(s.name).cast("double")).isNull().cast("double")) for s in self.numeric if s.missing
-        ]
+    def named(self) -> list[tuple[str, str]]:
+        """(name, SQL text) in fixed order: numbers, raw 0/1 indicators, categories with other and missing."""
+        out = [(s.name, f"({s.filled_sql()} - {double(s.mean)}) / {double(s.std)}") for s in self.numeric]
+        out += [(f"{s.name}_missingindicator", f"cast({finite_sql(s.name)} is null as double)") for s in self.numeric if s.missing]
         for c, values in self.vocab.items():
-            v = F.col(c).cast("string")
-            out += [(f"{c}_{x}", F.coalesce(v == x, F.lit(False)).cast("double")) for x in values]
-            known = v.isin(values) if values else F.lit(False)
-            out.append((f"{c}_{OTHER}", (v.isNotNull() & ~F.coalesce(known, F.lit(False))).cast("double")))
-            out.append((f"{c}_{MISSING}", v.isNull().cast("double")))
+            v = f"cast(`{c}` as string)"
+            out += [(f"{c}_{x}", f"cast({v} <=> {quoted(x)} as double)") for x in values]
+            known = f" and {v} not in ({', '.join(quoted(x) for x in values)})" if values else ""
+            out.append((f"{c}_{OTHER}", f"cast(({v} is not null{known}) as double)"))
+            out.append((f"{c}_{MISSING}", f"cast({v} is null as double)"))
         return out
 
     def names(self) -> list[str]:
         return [n for n, _ in self.named()]
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return df.select(*keep, *[c.alias(n) for n, c in self.named()])
+        return df.selectExpr(*keep, *[f"{e} as `{n}`" for n, e in self.named()])
 
     def transform_array(self, df: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
-        return df.select(*keep, F.array(*[c.cast("float") for _, c in self.named()]).alias(out))
+        cells = ", ".join(f"cast({e} as float)" for _, e in self.named())
+        return df.selectExpr(*keep, f"array({cells}) as `{out}`")
 
 
 def round2(df: DataFrame, client: str, numeric: Sequence[SharedNumeric]) -> DataFrame:
     """Per client and column: n, sum and sum of squares after clipping and filling."""
     per = df.groupBy(client).agg(
         F.count(F.lit(1)).alias("n"),
-        *[a for i, s in enumerate(numeric) for a in (F.sum(s.filled()).alias(f"s{i}"), F.sum(s.filled() * s.filled()).alias(f"q{i}"))],
+        *[F.expr(f"sum({s.filled_sql()}) as s{i}") for i, s in enumerate(numeric)],
+        *[F.expr(f"sum({s.filled_sql()} * {s.filled_sql()}) as q{i}") for i, s in enumerate(numeric)],
     )
     cells = F.array(*[F.struct(F.lit(s.name).alias("column"), F.col(f"s{i}").alias("sum"), F.col(f"q{i}").alias("sumsq")) for i, s in enumerate(numeric)])
     return per.select(client, "n", F.inline(cells))
@@ -286,8 +315,12 @@ def fit_shared(
     max_rows: int | None = None,
     key: Sequence[str] = (),
     seed: int = 42,
+    stored: bool = False,
 ) -> SharedEncoder:
-    """Both statistics rounds over training rows; only merged numbers reach the driver."""
+    """Both statistics rounds over training rows; only merged numbers reach the driver. The needed columns are written
+    once first, unless ``df`` is ``stored`` already."""
+    if not stored:
+        df = materialise(df.select(client, *dict.fromkeys([*key, *numeric, *categorical])), "fit")
     num: list[SharedNumeric] = []
     if numeric:
         merged = {r["column"]: r for r in merge_round1_numeric(round1_numeric(df, client, numeric, clip, max_rows, key, seed)).collect()}

@@ -15,7 +15,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.session import materialise
 
@@ -126,63 +125,41 @@ def group_quantiles(
     must be modest (institutions, node types): the bracket table has one row per group and is written once, so that both
     uses below see the same brackets."""
     groups, columns, probs = list(groups), list(columns), [float(p) for p in probs]
-    work = df.select(*groups, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    keys = groups or ["_all"]
+    named = [f"`{g}`" for g in groups] or ["0 as _all"]
+    work = df.selectExpr(*named, *[f"cast(`{c}` as double) as _x{i}" for i, c in enumerate(columns)])
     for g in groups:
         work = work.filter(F.col(g).isNotNull())
-    keys = groups or ["_all"]
-    if not groups:
-        work = work.withColumn("_all", F.lit(0))
     eps = 2.0 / accuracy
-    edge = F.array(*[F.lit(max(0.0, min(1.0, p + d))) for p in probs for d in (-eps, eps)])
+    edges = ", ".join(f"{max(0.0, min(1.0, p + d))!r}d" for p in probs for d in (-eps, eps))
+    cols = range(len(columns))
     brackets = materialise(
         work.groupBy(*keys).agg(
-            *[F.percentile_approx(f"_x{i}", edge, F.lit(accuracy)).alias(f"_b{i}") for i in range(len(columns))],
-            *[F.count(f"_x{i}").alias(f"_n{i}") for i in range(len(columns))],
+            *[F.expr(f"percentile_approx(_x{i}, array({edges}), {accuracy}) as _b{i}") for i in cols],
+            *[F.expr(f"count(_x{i}) as _n{i}") for i in cols],
         ),
         "quantile-brackets",
     )
     row = work.join(brackets, keys)
-    cells = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
+    cells = [(i, j) for i in cols for j in range(len(probs))]
 
     def low(i, j):
-        return F.get(F.col(f"_b{i}"), F.lit(2 * j))
+        return f"_b{i}[{2 * j}]"
 
     def high(i, j):
-        return F.get(F.col(f"_b{i}"), F.lit(2 * j + 1))
+        return f"_b{i}[{2 * j + 1}]"
 
     below = row.groupBy(*keys).agg(
-        *[F.count_if(F.col(f"_x{i}") < low(i, j)).alias(f"_l{i}_{j}") for i, j in cells],
-        *[F.max(F.when(F.col(f"_x{i}") < low(i, j), F.col(f"_x{i}"))).alias(f"_p{i}_{j}") for i, j in cells],
-        *[F.min(F.when(F.col(f"_x{i}") > high(i, j), F.col(f"_x{i}"))).alias(f"_q{i}_{j}") for i, j in cells],
-        *[F.max(f"_n{i}").alias(f"_m{i}") for i in range(len(columns))],
-    )
-    below = below.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_l{i}_{j}").alias("_below"),
-                        F.col(f"_p{i}_{j}").alias("_prev"), F.col(f"_q{i}_{j}").alias("_next"),
-                        F.col(f"_m{i}").alias("_n"), F.lit(probs[j]).alias("prob"),
-                    )
-                    for i, j in cells
-                ]
-            )
-        ),
+        *[F.expr(f"count_if(_x{i} < {low(i, j)}) as _l{i}_{j}") for i, j in cells],
+        *[F.expr(f"max(if(_x{i} < {low(i, j)}, _x{i}, null)) as _p{i}_{j}") for i, j in cells],
+        *[F.expr(f"min(if(_x{i} > {high(i, j)}, _x{i}, null)) as _q{i}_{j}") for i, j in cells],
+        *[F.expr(f"max(_n{i}) as _m{i}") for i in cols],
     )
-    candidates = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(f"_x{i}").between(low(i, j), high(i, j)),
-                    F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_x{i}").alias("_v")),
-                )
-                for i, j in cells
-            ]
-        )
-    )
-    inside = row.select(*keys, F.inline(candidates)).groupBy(*keys, "_i", "_j", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    facts = ", ".join(f"struct({i} as _i, {j} as _j, _l{i}_{j} as _below, _p{i}_{j} as _prev, _q{i}_{j} as _next, _m{i} as _n, {probs[j]!r}d as prob)" for i, j in cells)
+    below = below.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({facts}))")
+    hits = ", ".join(f"if(_x{i} between {low(i, j)} and {high(i, j)}, struct({i} as _i, {j} as _j, _x{i} as _v), null)" for i, j in cells)
+    inside = row.selectExpr(*[f"`{k}`" for k in keys], f"inline(array_compact(array({hits})))")
+    inside = inside.groupBy(*keys, "_i", "_j", "_v").agg(F.count(F.lit(1)).alias("_c"))
     cell = [*keys, "_i", "_j"]
     upto = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = inside.withColumn("_upto", F.sum("_c").over(upto)).join(below, cell)
@@ -326,7 +303,3 @@ def early_stop(history: DataFrame, groups: Sequence[str], step: str, value: str,
         F.max_by(value, last_best).alias("best_value"),
         F.max("_stop").alias("stop_step"),
     )
-
-
-def as_array(columns: Sequence[str], kind: T.DataType = T.DoubleType()) -> Column:
-    return F.array(*[F.col(c).cast(kind) for c in columns])
