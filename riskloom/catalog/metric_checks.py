@@ -188,11 +188,11 @@ BOOT = boot_sql(42, "SK_ID_CURR, client, TARGET, method, prob", TEST, ROUNDS)
 
 
 @query("m12_paired_bootstrap", f"""
-with b as (select * from {weighted_auc_sql('method, client, round', BOOT)} w), a as (select * from {auc_sql('method, client', TEST)} w)
-select 'a' as a, r.b, cast(r.client as bigint) as client, {sql_rnd('max(px.roc_auc - py.roc_auc)', 5)} as delta_auc, {sql_rnd('quantile_cont(d, 0.025)', 5)} as ci_low, {sql_rnd('quantile_cont(d, 0.975)', 5)} as ci_high,
-  {sql_rnd('avg(case when d <= 0 then 1e0 else 0e0 end)', 5)} as p_delta_le_0
-from (select y.method as b, x.client, x.roc_auc - y.roc_auc as d from b x join b y on x.client = y.client and x.round = y.round where x.method = 'a' and y.method in ('b','c')) r
-join a px on px.method = 'a' and px.client = r.client join a py on py.method = r.b and py.client = r.client group by r.b, r.client""")
+with b as (select * from {weighted_auc_sql('method, client, round', BOOT)} w), a as (select * from {auc_sql('method, client', TEST)} w),
+ci as (select y.method as b, x.client, quantile_cont(x.roc_auc - y.roc_auc, 0.025) as lo, quantile_cont(x.roc_auc - y.roc_auc, 0.975) as hi, avg(case when x.roc_auc <= y.roc_auc then 1e0 else 0e0 end) as le
+  from b x join b y on x.client = y.client and x.round = y.round where x.method = 'a' and y.method in ('b','c') group by y.method, x.client)
+select 'a' as a, py.method as b, cast(px.client as bigint) as client, {sql_rnd('px.roc_auc - py.roc_auc', 5)} as delta_auc, {sql_rnd('lo', 5)} as ci_low, {sql_rnd('hi', 5)} as ci_high, {sql_rnd('le', 5)} as p_delta_le_0
+from a px join a py on py.client = px.client left join ci on ci.b = py.method and ci.client = px.client where px.method = 'a' and py.method in ('b','c')""")
 def paired_bootstrap(t):
     long = long_scores(t).filter("split = 'test'")
     return rounded(B.paired_bootstrap(long, [("a", "b"), ("a", "c")], ROUNDS, 42), 5)

@@ -226,7 +226,8 @@ def hybrid_name(a: str, b: str) -> str:
 
 
 def choose_blend_weights(wide: DataFrame, pairs: Sequence[tuple[str, str]], client: str = "client", prefix: str = "prob_", grid: Sequence[float] = GRID) -> DataFrame:
-    """(hybrid, client, w): validation AUC decides, the smallest weight wins ties. All pairs, clients and weights together."""
+    """(hybrid, client, w): validation AUC decides, the smallest weight wins ties (also where a client's validation rows
+    have one class and no AUC). All pairs, clients and weights together."""
     options = F.array(
         *[
             F.struct(F.lit(hybrid_name(a, b)).alias("hybrid"), S.logit(prefix + a).alias("_la"), S.logit(prefix + b).alias("_lb"))
@@ -238,7 +239,7 @@ def choose_blend_weights(wide: DataFrame, pairs: Sequence[tuple[str, str]], clie
         "score", F.col("w") * F.col("_la") + (F.lit(1.0) - F.col("w")) * F.col("_lb")
     )
     aucs = auc(scored, ["hybrid", client, "w"], "score")
-    return aucs.groupBy("hybrid", client).agg(argmax_first("roc_auc", "w", "w").alias("w"), F.max("roc_auc").alias("val_auc"))
+    return aucs.groupBy("hybrid", client).agg(F.coalesce(argmax_first("roc_auc", "w", "w"), F.min("w")).alias("w"), F.max("roc_auc").alias("val_auc"))
 
 
 def add_hybrids(wide: DataFrame, pairs: Sequence[tuple[str, str]], client: str = "client", prefix: str = "prob_") -> tuple[DataFrame, DataFrame]:
