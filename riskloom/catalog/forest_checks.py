@@ -145,13 +145,13 @@ def structural_loan(t):
 
 @query("g10_root_customer", f"select node_type, SK_ID_CURR as root_id, count(*) as nodes from {KEPT} k group by 1, 2")
 def root_customer(t):
-    nodes = G.with_roots(G.resolve_orphans(plain_nodes(t)))
+    nodes = G.with_roots(G.resolve_orphans(plain_nodes(t)), walk=True)
     return G.node_counts({k: nodes[k] for k in G.EVENTS}, ["root_id"]).select("node_type", "root_id", "nodes")
 
 
 def edge_nodes(t, policy="placeholder"):
     fixed = G.resolve_orphans(plain_nodes(t), policy)
-    return {**fixed, **{k: materialise(G.event_ids(fixed[k]), k) for k in G.EVENTS}}
+    return {**fixed, G.PREV: materialise(fixed[G.PREV], "prev"), **{k: materialise(G.event_ids(fixed[k]), k) for k in G.EVENTS}}
 
 
 @query("g11_edges", f"""

@@ -94,30 +94,78 @@ def _sweep(keys: Sequence[str], rounds: int):
     return run
 
 
+def _tie_sums(keys: Sequence[str], rounds: int, most: int = 4096):
+    """Weighted class totals of single-score groups, added up inside each task; totals are additive, so rows need not
+    meet."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[tuple, np.ndarray] = {}
+
+        def emit():
+            return pd.DataFrame([[*k, v[0], v[1]] for k, v in acc.items()], columns=[*keys, "pos", "neg"])
+
+        for pdf in batches:
+            for at in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[at : at + CHUNK]
+                w = poisson_weights(part["s1"].to_numpy(), part["s2"].to_numpy(), rounds).astype(np.float64)
+                y = part["y"].to_numpy(np.float64)
+                for key, idx in part.groupby(list(keys), sort=False).indices.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    cell = acc.setdefault(key, np.zeros((2, rounds)))
+                    cell[0] += y[idx] @ w[idx]
+                    cell[1] += (1.0 - y[idx]) @ w[idx]
+                if len(acc) > most:
+                    yield emit()
+                    acc.clear()
+        if acc:
+            yield emit()
+
+    return run
+
+
 def bootstrap_auc(
     df: DataFrame, groups: Sequence[str], rounds: int, seed: int = 42, key: str = "SK_ID_CURR", score: str = "prob", target: str = "TARGET"
 ) -> DataFrame:
-    """(groups, round, roc_auc) per resample; resamples with one class are left out."""
+    """(groups, round, roc_auc) per resample; resamples with one class are left out.
+
+    A score shared by more than one range's worth of rows gets a place of its own between the ranges: its rows are only
+    added up (no shuffle, no order needed), so that neither a large group nor a frequent score ends in one task."""
     groups = list(groups)
     s1, s2 = bootstrap_seeds(seed, key)
     rows = df.filter(F.col(score).isNotNull()).select(
         *groups, F.col(score).cast("double").alias("score"), F.col(target).cast("double").alias("y"), s1.alias("s1"), s2.alias("s2")
     )
     ranges = _range_count(df)
+    per_score = rows.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    limit = per_score.agg(F.sum("n") / F.lit(ranges)).scalar()
+    frequent = per_score.withColumn("_limit", limit).filter(F.col("n") > F.col("_limit")).agg(F.array_sort(F.collect_list("score"))).scalar()
     cut = (
-        rows.withColumn("_b", sampled_bounds(rows, groups, "score", ranges))
-        .withColumn("range", range_index(F.col("score"), F.col("_b"), ranges))
-        .drop("_b")
+        rows.withColumns({"_b": sampled_bounds(rows, groups, "score", ranges), "_f": frequent})
+        .withColumns(
+            {
+                "range": range_index(F.col("score"), F.col("_b"), ranges),
+                "lower": F.size(F.filter("_f", lambda f: f < F.col("score"))),
+                "alone": F.array_contains("_f", F.col("score")).cast("int"),
+            }
+        )
+        .drop("_b", "_f")
     )
-    keys = [*groups, "range"]
+    place = ["range", "lower", "alone"]
+    keys = [*groups, *place]
     kinds = ", ".join(f"`{k}` {cut.schema[k].dataType.simpleString()}" for k in keys)
     swept = (
-        cut.repartition(*keys).sortWithinPartitions(*keys, "score")
+        cut.filter("alone = 0").repartition(*keys).sortWithinPartitions(*keys, "score")
         .mapInPandas(_sweep(keys, rounds), f"{kinds}, num array<double>, pos array<double>, neg array<double>")
     )
     per_round = swept.select(*keys, F.posexplode(F.arrays_zip("num", "pos", "neg")).alias("round", "v")).select(*keys, "round", "v.*")
-    below = Window.partitionBy(*groups, "round").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    joined = per_round.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    ties = cut.filter("alone = 1").mapInPandas(_tie_sums(keys, rounds), f"{kinds}, pos array<double>, neg array<double>")
+    tied = (
+        ties.select(*keys, F.posexplode(F.arrays_zip("pos", "neg")).alias("round", "v"))
+        .groupBy(*keys, "round").agg(F.sum("v.pos").alias("pos"), F.sum("v.neg").alias("neg"))
+        .select(*keys, "round", (F.lit(0.5) * F.col("pos") * F.col("neg")).alias("num"), "pos", "neg")
+    )
+    below = Window.partitionBy(*groups, "round").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    joined = per_round.unionByName(tied).withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
     return (
         joined.groupBy(*groups, "round")
         .agg(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import uniform
 from riskloom.operators.contracts import ContractError
-from riskloom.operators.ordered import hashed_rank, prefix_sums
+from riskloom.operators.ordered import hashed_prefix, hashed_rank, prefix_sums
 from riskloom.operators.summaries import union_schemas
 from riskloom.plans import credit as C
 from riskloom.session import materialise
@@ -119,26 +119,25 @@ def parent_state() -> Column:
     )
 
 
+def pair_states(nodes: Mapping[str, DataFrame], scope: Sequence[str] = ()) -> DataFrame:
+    """(node_type, loan, customer, scope, n, state): event rows counted per (loan, customer) before the parent lookup, so
+    a loan with very many events is one row in the join."""
+    union = None
+    for t in EVENTS:
+        pairs = nodes[t].groupBy(LOAN, ROOT, *scope).agg(F.count(F.lit(1)).alias("n")).withColumn("node_type", F.lit(t))
+        union = pairs if union is None else union.unionByName(pairs)
+    return with_owner(union, nodes[PREV], scope).withColumn("state", parent_state()).drop("_owner")
+
+
 def orphan_report(nodes: Mapping[str, DataFrame], scope: Sequence[str] = ()) -> DataFrame:
     """Per event type (and scope): rows, rows with unknown parent and their share, distinct unknown parents, customers
-    affected, rows whose parent belongs to someone else. Rows are first reduced per (parent, customer, state)."""
-    parts = []
-    for t in EVENTS:
-        states = (
-            with_owner(nodes[t].select(LOAN, ROOT, *scope), nodes[PREV], scope)
-            .groupBy(*scope, LOAN, ROOT, parent_state().alias("state"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        parts.append(states.withColumn("node_type", F.lit(t)))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    affected, rows whose parent belongs to someone else."""
     lost = F.col("state") == "missing"
 
     def rows(state: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("state") == state, F.col("n"))), F.lit(0))
 
-    return union.groupBy(*scope, "node_type").agg(
+    return pair_states(nodes, scope).groupBy(*scope, "node_type").agg(
         F.sum("n").alias("rows"),
         rows("missing").alias("rows_missing_prev"),
         (rows("missing") / F.sum("n")).alias("share_missing_prev"),
@@ -152,29 +151,26 @@ def flag_of(event_type: str) -> str:
     return f"PH_FROM_{event_type.upper()}"
 
 
-def placeholders(nodes: Mapping[str, DataFrame], scope: Sequence[str] = ()) -> DataFrame:
+def placeholders(nodes: Mapping[str, DataFrame], scope: Sequence[str] = (), states: DataFrame | None = None) -> DataFrame:
     """One row per unknown (loan, customer) with the event types that mention it."""
-    keys = [LOAN, ROOT, *scope]
-    parts = [
-        with_owner(nodes[t].select(*keys), nodes[PREV], scope).filter(F.col("_owner").isNull())
-        .select(*keys, *[F.lit(int(t == e)).alias(flag_of(e)) for e in EVENTS]).dropDuplicates()
-        for t in EVENTS
-    ]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return union.groupBy(*keys).agg(*[F.max(flag_of(e)).alias(flag_of(e)) for e in EVENTS]).withColumn("IS_PLACEHOLDER", F.lit(1))
+    states = pair_states(nodes, scope) if states is None else states
+    flags = [F.max((F.col("node_type") == e).cast("int")).alias(flag_of(e)) for e in EVENTS]
+    return states.filter("state = 'missing'").groupBy(LOAN, ROOT, *scope).agg(*flags).withColumn("IS_PLACEHOLDER", F.lit(1))
 
 
 def resolve_orphans(nodes: Nodes, policy: str = "placeholder", scope: Sequence[str] = ()) -> Nodes:
-    """Drop events of a foreign parent; give unknown parents a placeholder loan, or drop their events."""
+    """Drop events of a foreign parent; give unknown parents a placeholder loan, or drop their events.
+
+    The (loan, customer) pairs that are not in order are written once; events are then filtered by an anti join against
+    the pairs to drop, which Spark broadcasts when that table is small, so that event rows usually stay where they are."""
     if policy not in ("placeholder", "drop"):
         raise ValueError(f"unknown policy: {policy}")
+    wrong = materialise(pair_states(nodes, scope).filter("state <> 'ok'"), "wrong-parents")
+    dropped = wrong if policy == "drop" else wrong.filter("state = 'mismatch'")
     out = dict(nodes)
     for t in EVENTS:
-        looked = with_owner(nodes[t], nodes[PREV], scope)
-        mine = F.col("_owner") == F.col(ROOT)
-        keep = mine if policy == "drop" else F.coalesce(mine, F.lit(True))
-        out[t] = looked.filter(keep).drop("_owner")
-    prev = [nodes[PREV]] + ([placeholders(nodes, scope)] if policy == "placeholder" else [])
+        out[t] = nodes[t].join(dropped.filter(F.col("node_type") == t).select(LOAN, ROOT, *scope), [LOAN, ROOT, *scope], "left_anti")
+    prev = [nodes[PREV]] + ([placeholders(nodes, scope, wrong)] if policy == "placeholder" else [])
     out[PREV] = union_schemas(prev, [flag_of(e) for e in EVENTS])
     return out
 
@@ -250,22 +246,35 @@ def add_structural_features(nodes: Nodes) -> Nodes:
     return out
 
 
-def with_roots(nodes: Nodes) -> Nodes:
-    """``root_id`` on every node, walked along the keys: bureau and loans name it, events take it from their loan."""
-    out = {t: nodes[t].withColumn("root_id", F.col(ROOT)) for t in (CUSTOMER, BUREAU, PREV)}
-    loans = out[PREV].select(LOAN, ROOT, "root_id")
-    for t in EVENTS:
-        out[t] = nodes[t].join(loans, [LOAN, ROOT])
+def with_roots(nodes: Nodes, walk: bool = False) -> Nodes:
+    """``root_id`` on every node. After ``resolve_orphans`` an event's own customer is its loan's customer, so the column is
+    simply that; ``walk`` derives it along the keys instead (event -> loan -> customer) and keeps linked events only."""
+    out = {t: df.withColumn("root_id", F.col(ROOT)) for t, df in nodes.items()}
+    if walk:
+        loans = out[PREV].select(LOAN, ROOT, "root_id")
+        for t in EVENTS:
+            out[t] = nodes[t].join(loans, [LOAN, ROOT])
     return out
 
 
+ID_CHUNK = 100_000
+
+
 def event_ids(events: DataFrame) -> DataFrame:
-    """``event_id``: dense number in the order of a row hash; identical rows are interchangeable."""
+    """``event_id``: dense number from 1 in the order of a row hash. Identical rows are counted first and numbered by
+    expanding the count, in chunks spread over tasks, so that a large group of copies is never sorted or expanded in one
+    place."""
     cols = events.columns
-    keyed = events.withColumns(
+    cells = events.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumns(
         {"_u": F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52)), "_t": F.xxhash64(F.lit(1), *cols)}
     )
-    return hashed_rank(keyed, [], "_u", "_t", "event_id").drop("_u", "_t")
+    placed = hashed_prefix(cells, "_u", "_t", "_n", "_start")
+    few = placed.filter(F.col("_n") <= ID_CHUNK).select(*cols, F.explode(F.sequence(F.col("_start") + 1, F.col("_start") + F.col("_n"))).alias("event_id"))
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / ID_CHUNK)))
+    many = placed.filter(F.col("_n") > ID_CHUNK).withColumn("_chunk", chunk).repartition("_u", "_chunk")
+    low = F.col("_start") + F.col("_chunk") * ID_CHUNK
+    high = F.least(low + ID_CHUNK, F.col("_start") + F.col("_n"))
+    return few.unionByName(many.select(*cols, F.explode(F.sequence(low + 1, high)).alias("event_id")))
 
 
 def edges(nodes: Mapping[str, DataFrame], reverse: bool = True) -> DataFrame:

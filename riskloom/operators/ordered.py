@@ -110,8 +110,10 @@ def csr_offsets(children: DataFrame, parents: DataFrame, fk: str, key: str) -> D
 
 
 def sort_children(children: DataFrame, fk: str) -> DataFrame:
-    """Children of one parent lie next to each other, parents spread over tasks."""
-    return children.repartitionByRange(fk).sortWithinPartitions(fk)
+    """Children in parent order over the whole table. The range also uses a row hash, so the children of one very large
+    parent fill several consecutive partitions instead of one."""
+    salted = children.withColumn("_salt", F.xxhash64(*children.columns))
+    return salted.repartitionByRange(fk, "_salt").sortWithinPartitions(fk).drop("_salt")
 
 
 # ---------------------------------------------------------------------------------------------------------- quantiles
@@ -218,6 +220,17 @@ def hashed_rank(df: DataFrame, strata: Sequence[str], u: str, tie: str, out: str
     )
 
 
+def hashed_prefix(df: DataFrame, u: str, tie: str, weight: str, out: str = "start", ranges: int = HASH_RANGES) -> DataFrame:
+    """Sum of ``weight`` over the rows before each row in (u, tie) order."""
+    cut = df.withColumn("_range", _hash_range(u, ranges))
+    per = cut.groupBy("_range").agg(F.sum(weight).alias("_w"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_range", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(u, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumn("_upto", F.sum(weight).over(inside))
+    return local.join(offsets, "_range").withColumn(out, F.col("_before") + F.col("_upto") - F.col(weight)).drop("_range", "_upto", "_before")
+
+
 def cut_thresholds(df: DataFrame, stratum: str, u: str, tie: str, cuts: DataFrame, ranges: int = HASH_RANGES) -> DataFrame:
     """Per stratum an ascending array of (u, tie) thresholds, one per row of ``cuts`` (stratum, slot, upto): the row whose
     rank is ``upto``. Only hash ranges that contain a cut are ranked. ``upto`` may also come as ``cum_share``: the rank is

@@ -232,23 +232,34 @@ def of_customers(df: DataFrame, ids: DataFrame, key: str = KEY) -> DataFrame:
     return df.join(ids.select(key).distinct() if key != KEY else ids.select(key), key, "left_semi")
 
 
-def feature_table(tables: Mapping[str, DataFrame], vocab: Vocab | None = None) -> DataFrame:
+def feature_table(tables: Mapping[str, DataFrame], vocab: Vocab | None = None, prefilter: bool = False) -> DataFrame:
     """Cleaned applications with all five rollups left-joined. Every rollup is grouped by the customer key, so the joins
-    reuse one hash partitioning. Infinite values become NULL."""
+    reuse one hash partitioning. NaN and infinite cells are removed when each table is read and ratios by 0 are NULL, so
+    the result holds none.
+
+    The left joins already drop the rollups of customers without an application, so child rows go straight into map-side
+    aggregation and are never shuffled raw. ``prefilter`` adds the semi joins first; worth it only when the applications
+    are a small part of the customers in the child tables. Without it the discovered categories may include ones seen
+    only for other customers; their shares are 0 everywhere and ``drop_constant_columns`` removes them."""
     app = clean_application(tables["application"])
     ids = tables["application"].select(KEY)
-    bureau = of_customers(tables["bureau"], ids)
-    bb = of_customers(tables["bureau_balance"], bureau, "SK_ID_BUREAU")
+
+    def mine(name: str) -> DataFrame:
+        return of_customers(tables[name], ids) if prefilter else tables[name]
+
+    bureau, bb = mine("bureau"), tables["bureau_balance"]
+    if prefilter:
+        bb = of_customers(bb, bureau, "SK_ID_BUREAU")
     rolled = [
         rollup_bureau(bureau, bb, vocab),
-        rollup_previous(of_customers(tables["previous_application"], ids), vocab),
-        rollup_installments(of_customers(tables["installments_payments"], ids)),
-        rollup_pos(of_customers(tables["pos_cash_balance"], ids), vocab),
-        rollup_card(of_customers(tables["credit_card_balance"], ids), vocab),
+        rollup_previous(mine("previous_application"), vocab),
+        rollup_installments(mine("installments_payments")),
+        rollup_pos(mine("pos_cash_balance"), vocab),
+        rollup_card(mine("credit_card_balance"), vocab),
     ]
     for r in rolled:
         app = attach(app, r, KEY)
-    return S.finite_all(app)
+    return app
 
 
 def model_features(tables: Mapping[str, DataFrame], vocab: Vocab | None = None) -> DataFrame:

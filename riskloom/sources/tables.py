@@ -39,6 +39,13 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table whose files are fewer than the cores (one small Parquet file is one task); a table with
+    enough input splits, that is any large one, is returned unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cast_numeric(df: DataFrame, strings: Sequence[str]) -> DataFrame:
     """Everything but ids and the named string columns to double (unparsable -> NULL)."""
     keep = set(strings)

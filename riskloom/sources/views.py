@@ -11,8 +11,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.sources.tables import spread
+
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
+SPREAD = ["customer", "orders", "lineitem", "events"]
+
 
 class SparkText:
     def t(self, name: str) -> str:
@@ -273,7 +277,8 @@ class Tables:
                 build, inputs = VIEWS[name]
                 self._made[name] = self.spark.sql(build(SparkText()), **{i: self[i] for i in inputs})
             else:
-                self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._made[name] = spread(df) if name in SPREAD else df
         return self._made[name]
 
     @cached_property

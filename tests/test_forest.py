@@ -105,6 +105,15 @@ def test_event_ids_are_dense(spark):
     assert ids == list(range(1, 101))
 
 
+def test_large_group_of_copies_is_numbered_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(G, "ID_CHUNK", 7)
+    df = spark.createDataFrame([(1, "a")] * 40 + [(2, None)] * 7 + [(i, "b") for i in range(20)], "x int, s string")
+    out = G.event_ids(df).collect()
+    assert sorted(r["event_id"] for r in out) == list(range(1, 68))
+    copies = sorted(r["event_id"] for r in out if r["s"] == "a")
+    assert copies == list(range(copies[0], copies[0] + 40))
+
+
 def test_dangling_key_is_an_error(spark, nodes):
     with pytest.raises(ContractError):
         G.dense_links(nodes["installment"], nodes["prev"].select("SK_ID_PREV"), "SK_ID_PREV", "SK_ID_PREV")
@@ -113,6 +122,8 @@ def test_dangling_key_is_an_error(spark, nodes):
 
 
 def test_roots_subgraph_and_batches(spark, nodes):
+    walked = G.with_roots(G.resolve_orphans(nodes), walk=True)
+    assert {k: v.count() for k, v in walked.items()} == {k: v.count() for k, v in G.with_roots(G.resolve_orphans(nodes)).items()}
     full = G.with_roots(G.resolve_orphans(nodes))
     assert full["installment"].filter("root_id <> SK_ID_CURR").isEmpty() and full["installment"].count() == 4
     only = G.subgraph(full, spark.createDataFrame([(2,)], "SK_ID_CURR bigint"))

@@ -143,6 +143,20 @@ def test_bootstrap_sweep_is_independent_of_batches(spark):
     assert whole.keys() == small.keys() and all(math.isclose(whole[k], small[k], abs_tol=1e-12) for k in whole)
 
 
+def test_bootstrap_with_a_frequent_score(spark):
+    pdf = sample()
+    pdf["hot"] = np.where(pdf.SK_ID_CURR % 5 < 2, 0.5, pdf.q)
+    df = spark.createDataFrame(pdf)
+    s1, s2 = bootstrap_seeds(7, "SK_ID_CURR")
+    pdf = pdf.merge(df.select("SK_ID_CURR", s1.alias("s1"), s2.alias("s2")).toPandas(), on="SK_ID_CURR")
+    w = poisson_weights(pdf.s1.to_numpy(), pdf.s2.to_numpy(), 4).astype(float)
+    got = {(r["client"], r["round"]): r["roc_auc"] for r in B.bootstrap_auc(df, ["client"], 4, 7, score="hot").collect()}
+    for (c, r), v in got.items():
+        m = (pdf.client == c).to_numpy()
+        assert v == pytest.approx(auc_of(pdf.TARGET.to_numpy()[m], pdf.hot.to_numpy()[m], w[m, r]), abs=1e-12)
+    assert len(got) == 16
+
+
 def test_identical_methods_have_zero_difference(spark):
     base = spark.createDataFrame(sample())
     long = base.withColumn("method", F.explode(F.array(F.lit("x"), F.lit("y"))))
