@@ -206,3 +206,17 @@ from {PAIRS_SQL} p join x on x.method = p.a join x y on y.method = p.b and y.cli
 def seed_summary(t):
     aucs = M.auc(seed_long(t), ["seed", "method", "client"])
     return rounded(M.seed_deltas(aucs, M.comparison_pairs(["local", "fedavg", "hgnn"])))
+
+
+SEED_COLUMNS = f"""(with x as (select z.*, n.n from {auc_sql('seed, method, client', SEED_LONG)} z join (select client, count(*) as n from seed_scores where split = 'test' and seed = 42 group by client) n on n.client = z.client)
+ select seed, method, 'C'||cast(client as varchar) as col, roc_auc from x union all select seed, method, 'client-avg', sum(n*roc_auc)/sum(n) from x group by seed, method
+ union all select seed, method, 'worst', min(roc_auc) from x group by seed, method)"""
+
+
+@query("m13_seed_table", f"""
+select p.a, p.b, x.col as auc_column, {sql_rnd('avg(x.roc_auc-y.roc_auc)')} as mean, {sql_rnd('stddev_samp(x.roc_auc-y.roc_auc)')} as std, count(*) filter (where x.roc_auc > y.roc_auc) as n_positive, count(*) as n_seeds
+from {PAIRS_SQL} p join {SEED_COLUMNS} x on x.method = p.a join {SEED_COLUMNS} y on y.method = p.b and y.col = x.col and y.seed = x.seed group by p.a, p.b, x.col""")
+def seed_table(t):
+    """Differences over seeds per institution, for the weighted average and for the worst institution."""
+    long = M.auc_columns(seed_long(t), ["seed", "method"])
+    return rounded(M.seed_deltas(long, M.comparison_pairs(["local", "fedavg", "hgnn"]), "column").withColumnRenamed("column", "auc_column"))

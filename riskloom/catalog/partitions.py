@@ -10,6 +10,7 @@ from riskloom.operators import diagnostics as D
 from riskloom.operators import partition as P
 from riskloom.operators.summaries import crosstab_share
 from riskloom.plans import credit as C
+from riskloom.sources.sinks import json_rows
 
 
 @query("pt01_stratified_split", f"""
@@ -163,6 +164,12 @@ def overall(t):
     return rounded(D.overall(D.client_sizes(t.assignment)))
 
 
+@query("d05_report_json")
+def report_json(t):
+    """The whole report as one JSON object per client."""
+    return json_rows(D.partition_report(t.assignment, t.application.select(PROFILE), range(5)), ["client"])
+
+
 @query("d06_segment_mix", "select cast(client as bigint) as client, " + ", ".join(f"""{sql_rnd(f"avg(case when segment = '{s}' then 1e0 else 0e0 end)", 4)} as "{s}" """ for s in SEGMENTS)
        + " from (" + cuts_sql("segment", SEGMENT_SHARES, "segment", f"(select SK_ID_CURR, {SEGMENT_SQL} as segment from application)").replace("select SK_ID_CURR, cast(case", "select SK_ID_CURR, segment, cast(case", 1) + ") y group by client")
 def segment_mix(t):

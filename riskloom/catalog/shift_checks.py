@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from riskloom.catalog.metric_checks import auc_sql, long_scores
-from riskloom.catalog.model_checks import local_scores, variant_scores
+from riskloom.catalog.metric_checks import CONF, auc_sql, curve_sql, rates_sql
+from riskloom.catalog.model_checks import local_scores, variant_models, variant_scores
 from riskloom.catalog.registry import EXACT, query, rounded, sql_rnd
 from riskloom.operators import bootstrap as B
 from riskloom.operators import metrics as M
@@ -95,6 +95,19 @@ def interaction_test(t):
     return rounded(B.paired_bootstrap(long, pairs, 30), 5)
 
 
+@query("c07_variant_report")
+def variant_report(t):
+    """Trees kept, columns used, gain rank of the institution id and per-institution test AUC of each variant."""
+    out = None
+    for name, width, model in variant_models(t):
+        per = M.auc(model.predictions.filter("split = 'test'"), ["client"]).select(
+            F.lit(name).alias("variant"), F.lit(model.rounds).alias("rounds"), F.lit(width).alias("n_features"),
+            F.lit(model.gain_rank("CLIENT_ID")).cast("int").alias("client_id_gain_rank"), "client", "roc_auc",
+        )
+        out = per if out is None else out.unionByName(per)
+    return rounded(out, 4)
+
+
 PAIRS = [("a", "b"), ("a", "c"), ("b", "c")]
 LOGIT = {m: f"ln(least(greatest(prob_{m},1e-6),1e0-1e-6)/(1e0-least(greatest(prob_{m},1e-6),1e0-1e-6)))" for m in "abc"}
 BLENDED = "(" + " union all ".join(f"select 'hyb_{a}_{b}' as hybrid, client, TARGET, w, w*{LOGIT[a]}+(1e0-w)*{LOGIT[b]} as score from (select *, unnest(range(0,21))/20e0 as w from scores where split = 'val') s" for a, b in PAIRS) + ")"
@@ -128,6 +141,21 @@ def hybrid_evaluation(t):
     return rounded(M.pair_rows(M.auc(long, ["method", "client"]), [("hyb_a_c", "a"), ("hyb_a_c", "c")], ["client"]).select("b", "client", F.col("delta").alias("delta_auc")), 5)
 
 
+HYBRID_LONG = f"(select client, split, TARGET, 'hyb_a_b' as method, prob_hyb_a_b as prob from ({HYBRID_SQL}) h union all select client, split, TARGET, 'hyb_a_c', prob_hyb_a_c from ({HYBRID_SQL}) h)"
+HYBRID_THRESHOLDS = f"(select method, client, s as threshold from (select *, row_number() over (partition by method, client order by 2e0*tp/(tp+fp+p) desc, s) as r from {curve_sql('method, client', f'(select * from {HYBRID_LONG} l where split = {chr(39)}val{chr(39)})')} c) d where r = 1)"
+
+
+@query("h02_hybrid_metrics", f"""select method, cast(client as bigint) as client, {sql_rnd('threshold')} as threshold, tp, fp, tn, fn, {rates_sql()} from (
+  select method, client, threshold, {CONF} from {HYBRID_LONG} l join {HYBRID_THRESHOLDS} h using (method, client) where split = 'test' group by method, client, threshold) c""")
+def hybrid_metrics(t):
+    """Blended methods at thresholds chosen on each institution's validation rows."""
+    pairs = [("a", "b"), ("a", "c")]
+    wide, _ = S.add_hybrids(t.scores, PAIRS)
+    long = P.to_long(wide.select(*P.KEYS, *[f"prob_{S.hybrid_name(a, b)}" for a, b in pairs]))
+    per, _ = M.evaluate_by_client(long.filter("split = 'test'"), M.select_thresholds(long.filter("split = 'val'"), ["method", "client"]))
+    return rounded(per.select("method", "client", "threshold", "tp", "fp", "tn", "fn", "precision", "recall", "specificity", "f1", "balanced_accuracy"))
+
+
 @query("h02_hybrid_table")
 def hybrid_table(t):
     """Formatted difference cells with a star when the interval leaves out 0."""

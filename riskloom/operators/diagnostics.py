@@ -100,3 +100,31 @@ def overall(sizes: DataFrame) -> DataFrame:
         F.min("default_rate").alias("min_default_rate"),
         F.max("default_rate").alias("max_default_rate"),
     )
+
+
+def _as_map(df: DataFrame, client: str, key: str, value: str, out: str) -> DataFrame:
+    """Small per-client map (splits, ratings, features)."""
+    return df.groupBy(client).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value))))).alias(out))
+
+
+def partition_report(assign: DataFrame, profile: DataFrame | None, clients: Sequence, client: str = "client") -> DataFrame:
+    """One row per client with every measure, ready for a JSON sink. Shares and rates are rounded to four decimals, the
+    label divergence to five."""
+    sizes = client_sizes(assign, client).withColumns({c: F.round(c, 4) for c in ("default_rate", "share")})
+    splits = split_sizes(assign, client)
+    out = (
+        sizes.join(label_divergence(assign, client).withColumn("label_js_divergence", F.round("label_js_divergence", 5)), client)
+        .join(_as_map(splits, client, "split", "n", "split_sizes"), client)
+        .join(_as_map(splits, client, "split", "positives", "split_positives"), client)
+    )
+    if profile is None:
+        return out
+    df = with_profile(assign, profile)
+    shift = feature_shift(df, SHIFT_COLUMNS, clients, client).withColumn("distance", F.round("distance", 4))
+    ratings = rating_shares(df, client).withColumn("share", F.round("share", 4))
+    scores = client_profile(df, client).withColumns({c: F.round(c, 4) for c in ("mean_ext_source_2", "mean_ext_source_3")})
+    return (
+        out.join(scores, client)
+        .join(_as_map(ratings, client, "REGION_RATING_CLIENT", "share", "region_rating_share"), client)
+        .join(_as_map(shift, client, "feature", "distance", "feature_shift_wasserstein"), client)
+    )
