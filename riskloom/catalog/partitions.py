@@ -90,7 +90,7 @@ def rejection_search(t):
     splits = t.assignment.drop("client").join(region, "SK_ID_CURR")
     out = None
     for method, attribute in [("region_territory", "REGION_POPULATION_RELATIVE"), ("segment_mix", "segment"), ("dirichlet_label", None)]:
-        found, info = P.partition_clients(splits, method, 4, 5.0, 42, attribute, 0.1, 0.02, 1)
+        found, info = P.partition_clients(splits, method, 4, 5.0, 42, attribute, 0.1, 0.05, 0)
         per = found.groupBy("client", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("TARGET").alias("positives"))
         per = per.select(F.lit(method).alias("method"), F.lit(info["attempts"]).alias("attempts"), "*")
         out = per if out is None else out.unionByName(per)

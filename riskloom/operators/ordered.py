@@ -30,15 +30,17 @@ def _range_count(df: DataFrame) -> int:
 
 def sampled_bounds(df: DataFrame, groups: Sequence[str], value: str, ranges: int) -> Column:
     """Scalar subquery with ranges-1 ascending bounds from the rows with the smallest key hashes. The sample has a fixed
-    size and depends only on the data, so every evaluation gives the same bounds."""
+    size and depends only on the data, so every evaluation gives the same bounds. Any orderable type."""
     sample = (
-        df.select(*groups, F.col(value).cast("double").alias("_v"))
+        df.select(*groups, F.col(value).alias("_v"))
         .filter(F.col("_v").isNotNull())
         .orderBy(F.xxhash64(*groups, "_v"), "_v")
         .limit(16 * ranges)
     )
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    return sample.agg(F.percentile("_v", probs).alias("b")).scalar()
+    ordered = sample.agg(F.array_sort(F.collect_list("_v")).alias("a"))
+    return ordered.select(
+        F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("a", F.floor(i * F.size("a") / ranges).cast("int"))).alias("b")
+    ).scalar()
 
 
 def range_index(value: Column, bounds: Column, ranges: int) -> Column:
@@ -69,7 +71,7 @@ def prefix_sums(
     ranges = ranges or _range_count(df)
     cut = (
         df.withColumn("_bounds", sampled_bounds(df, groups, value, ranges))
-        .withColumn("_range", range_index(F.col(value).cast("double"), F.col("_bounds"), ranges))
+        .withColumn("_range", range_index(F.col(value), F.col("_bounds"), ranges))
         .drop("_bounds")
     )
     keys = [*groups, "_range"]
@@ -142,7 +144,11 @@ def group_quantiles(
         ),
         "quantile-brackets",
     )
-    row = work.join(brackets, keys)
+    if groups:
+        row = work.join(brackets, keys)
+    else:
+        only = brackets.select(F.struct(*[c for c in brackets.columns if c != "_all"])).scalar()
+        row = work.withColumn("_only", only).select(*work.columns, "_only.*")
     cells = [(i, j) for i in cols for j in range(len(probs))]
 
     def low(i, j):
@@ -285,13 +291,8 @@ def top_k(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:
 
 def sorted_vocabulary(df: DataFrame, column: str) -> DataFrame:
     """(value, position): sorted distinct values with 0-based positions, without gathering them in one task."""
-    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    ordered = values.withColumn("_prefix", F.substring("value", 1, 2))
-    per = ordered.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    local = ordered.withColumn("_rn", F.row_number().over(Window.partitionBy("_prefix").orderBy("value")))
-    return local.join(per, "_prefix").select("value", (F.col("_before") + F.col("_rn") - 1).alias("position"))
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().withColumn("_one", F.lit(1))
+    return prefix_sums(values, [], "value", ["_one"]).select("value", (F.col("_one_cum") - 1).alias("position"))
 
 
 def early_stop(history: DataFrame, groups: Sequence[str], step: str, value: str, patience: int) -> DataFrame:

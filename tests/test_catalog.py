@@ -37,3 +37,18 @@ def test_flagship(spark):
 def test_query_matches_sql(spark, duck, name):
     problem, n = compare(entry.queries()[name](spark, FOLDER), duck, entry.oracle_sql()[name])
     assert problem is None and n > 0
+
+
+@pytest.mark.parametrize("name", ["w08_exact_quantiles", "w01_csr_offsets", "m01_roc_auc", "d03_feature_shift", "j11_weight_grid", "a14_dense_counts", "g04_orphan_report"])
+def test_plans_have_no_cross_join(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BroadcastExchange" not in plan
+
+
+def test_rollup_reads_only_the_columns_it_needs(spark):
+    plan = entry.queries()["a03_row_count"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_id:bigint>" in plan and "props" not in plan
