@@ -17,7 +17,7 @@ HEADLINE = [
     "a11_feature_table", "pt01_stratified_split", "pt03_territory_partition", "pt04_segment_partition", "d03_feature_shift",
     "g04_orphan_report", "g09_structural_loan", "g12_validate", "g18_mean_propagation", "e07_round1_statistics", "e11_shared_transform",
     "m01_roc_auc", "m09_pooled_metrics", "m12_paired_bootstrap", "m13_seed_summary", "h01_blend_weights", "c03_calibration_test",
-    "ml7_federated_rounds",
+    "e12_node_encoders",
 ]
 
 

@@ -153,7 +153,7 @@ def comparison_pairs(t):
     return rounded(M.pair_rows(M.auc(long, ["method", "client"]), pairs, ["client"]))
 
 
-ROUNDS = 24
+ROUNDS = 1000
 
 
 def mix_sql(source: str) -> str:

@@ -64,14 +64,12 @@ def client_calibration(t):
 
 @query("c04_client_rates", f"select cast(client as bigint) as client, {sql_rnd('avg(TARGET)')} as observed_rate, {sql_rnd('avg(prob_c)')} as mean_predicted, count(*) as n from scores group by client")
 def client_rates(t):
-    _, per = S.calibration_test(t.scores, score="prob_c")
-    rows = [(r["client"], r["observed_rate"], r["mean_predicted"], r["n"]) for r in per]
-    return rounded(t.spark.createDataFrame(rows, "client int, observed_rate double, mean_predicted double, n bigint"))
+    return rounded(S.calibration_rates(t.scores, score="prob_c"))
 
 
 @query("c05_bootstrap_slopes")
 def bootstrap_slopes(t):
-    rows = S.bootstrap_slopes(t.scores, 40, score="prob_c")
+    rows = S.bootstrap_slopes(t.scores, 250, score="prob_c")
     return rounded(t.spark.createDataFrame([tuple(r.values()) for r in rows], "client int, slope_low double, slope_high double, rounds_used int"), 4)
 
 
@@ -92,7 +90,7 @@ def interaction_test(t):
     """AUC differences of variants with and without institution id and region columns."""
     long = variant_scores(t)
     pairs = [("full+client", "full"), ("no_region+client", "no_region"), ("full", "no_region")]
-    return rounded(B.paired_bootstrap(long, pairs, 30), 5)
+    return rounded(B.paired_bootstrap(long, pairs, 500), 5)
 
 
 @query("c07_variant_report")
@@ -160,7 +158,7 @@ def hybrid_metrics(t):
 def hybrid_table(t):
     """Formatted difference cells with a star when the interval leaves out 0."""
     wide, _ = S.add_hybrids(t.scores, [("a", "c")])
-    boot = B.paired_bootstrap(P.to_long(wide.filter("split = 'test'")), [("hyb_a_c", "a"), ("hyb_a_c", "c")], 40)
+    boot = B.paired_bootstrap(P.to_long(wide.filter("split = 'test'")), [("hyb_a_c", "a"), ("hyb_a_c", "c")], 1000)
     return rounded(boot.select("a", "b", "client", starred_delta_cell("delta_auc", "ci_low", "ci_high").alias("cell")))
 
 

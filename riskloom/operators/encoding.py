@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalar as S
-from riskloom.functions.hashing import uniform
 from riskloom.operators.contracts import ContractError
-from riskloom.operators.ordered import assign_by_cuts, group_quantiles
+from riskloom.operators.ordered import group_quantiles
 from riskloom.operators.rollup import quoted, vocabularies
 from riskloom.session import materialise
 
@@ -33,16 +32,6 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
     return df.select(*keep, F.inline(cells))
 
 
-def fit_sample(df: DataFrame, key: Sequence[str], max_rows: int, seed: int, group: str | None = None) -> DataFrame:
-    """At most ``max_rows`` rows (per group), the first in a hash order of the key; all rows when there are fewer."""
-    stratum = group or "_all"
-    work = df if group else df.withColumn("_all", F.lit(0))
-    work = work.withColumn("_u", uniform(f"fit{seed}", *key)).withColumn("_tie", F.xxhash64(*df.columns))
-    cuts = work.groupBy(stratum).agg(F.lit(0).alias("slot"), F.least(F.count(F.lit(1)), F.lit(max_rows)).alias("upto"))
-    kept = assign_by_cuts(work, stratum, "_u", "_tie", cuts, "_slot").filter("_slot = 0")
-    return kept.select(df.columns)
-
-
 def double(x: float | None) -> str:
     return "cast(null as double)" if x is None else f"double('{x!r}')"
 
@@ -170,14 +159,14 @@ def fit_pooled(
     return PooledEncoder(tuple(stats), tuple(cats))
 
 
-def encode_nodes(nodes, train_ids: DataFrame, columns, max_rows: int = 1_000_000, seed: int = 42, **fit) -> dict:
-    """One pooled encoder per node type, fitted on (at most ``max_rows``) nodes whose root customer is in training."""
+def encode_nodes(nodes, train_ids: DataFrame, columns, **fit) -> dict:
+    """One pooled encoder per node type, fitted on all nodes whose root customer is in training."""
     out = {}
     for kind, df in nodes.items():
         num, cat = columns(kind, df)
         train = df.join(train_ids.select(F.col("SK_ID_CURR").alias("root_id")), "root_id", "left_semi")
-        sample = materialise(fit_sample(train.select("root_id", *num, *cat), ["root_id", *num], max_rows, seed), f"fit-{kind}")
-        out[kind] = fit_pooled(sample, num, cat, stored=True, **fit)
+        stored = materialise(train.select(*num, *cat), f"fit-{kind}")
+        out[kind] = fit_pooled(stored, num, cat, stored=True, **fit)
     return out
 
 
@@ -196,16 +185,13 @@ def encode_domains(df: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
 
 
 # -------------------------------------------------------------------------------------------------- shared encoder
-def round1_numeric(
-    df: DataFrame, client: str, numeric: Sequence[str], clip=(0.01, 0.99), max_rows: int | None = None, key: Sequence[str] = (), seed: int = 42
-) -> DataFrame:
+def round1_numeric(df: DataFrame, client: str, numeric: Sequence[str], clip=(0.01, 0.99)) -> DataFrame:
     """Per client and column: n, non-missing count, quantiles (low, median, high), has_missing. All clients at once."""
-    x = df.selectExpr(client, *[k for k in key if k not in numeric], *[f"{finite_sql(c)} as `{c}`" for c in numeric])
+    x = df.selectExpr(client, *[f"{finite_sql(c)} as `{c}`" for c in numeric])
     per = x.groupBy(client).agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(numeric)])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("nonnull")) for i, c in enumerate(numeric)])
     counts = per.select(client, "n", F.inline(cells)).withColumn("has_missing", F.col("nonnull") < F.col("n"))
-    sample = x if max_rows is None else fit_sample(x, key or list(numeric), max_rows, seed, client)
-    q = group_quantiles(sample, [client], numeric, [clip[0], 0.5, clip[1]])
+    q = group_quantiles(x, [client], numeric, [clip[0], 0.5, clip[1]])
 
     def at(p):
         return F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("value")))
@@ -312,18 +298,15 @@ def fit_shared(
     categorical: Sequence[str],
     clip=(0.01, 0.99),
     min_frequency: float = 0.005,
-    max_rows: int | None = None,
-    key: Sequence[str] = (),
-    seed: int = 42,
     stored: bool = False,
 ) -> SharedEncoder:
     """Both statistics rounds over training rows; only merged numbers reach the driver. The needed columns are written
     once first, unless ``df`` is ``stored`` already."""
     if not stored:
-        df = materialise(df.select(client, *dict.fromkeys([*key, *numeric, *categorical])), "fit")
+        df = materialise(df.select(client, *dict.fromkeys([*numeric, *categorical])), "fit")
     num: list[SharedNumeric] = []
     if numeric:
-        merged = {r["column"]: r for r in merge_round1_numeric(round1_numeric(df, client, numeric, clip, max_rows, key, seed)).collect()}
+        merged = {r["column"]: r for r in merge_round1_numeric(round1_numeric(df, client, numeric, clip)).collect()}
         num = [SharedNumeric(c, merged[c]["low"], merged[c]["median"], merged[c]["high"], merged[c]["missing"]) for c in numeric]
         moments = {r["column"]: r for r in merge_round2(round2(df, client, num)).collect()}
         num = [SharedNumeric(s.name, s.low, s.median, s.high, s.missing, moments[s.name]["mean"], moments[s.name]["std"]) for s in num]

@@ -18,6 +18,7 @@ from riskloom.functions.hashing import hash_bucket, uniform
 from riskloom.operators.contracts import ContractError
 from riskloom.operators.ordered import assign_by_cuts
 from riskloom.operators.summaries import dense_counts
+from riskloom.session import small_table
 
 KEY, TARGET = "SK_ID_CURR", "TARGET"
 SPLITS = ["train", "val", "test"]
@@ -60,7 +61,7 @@ def stratified_split(
     counts = {r[target]: r["n"] for r in small_counts(df, [target])}
     cuts = [(c, i, upto) for c, (te, va, _) in split_quotas(counts, test_size, val_size).items() for i, upto in enumerate([te, te + va])]
     kind = df.schema[target].dataType.simpleString()
-    cut_table = df.sparkSession.createDataFrame(cuts, f"{target} {kind}, slot int, upto bigint")
+    cut_table = small_table(df.sparkSession, cuts, f"{target} {kind}, slot int, upto bigint")
     work = df.select(key, target).withColumn("_u", uniform(f"split{seed}", key))
     slotted = assign_by_cuts(work, target, "_u", key, cut_table, "_slot")
     label = F.when(F.col("_slot") == 0, "test").when(F.col("_slot") == 1, "val").otherwise("train")
@@ -77,7 +78,7 @@ def share_partition(df: DataFrame, stratum: str, shares: Mapping, salt: str, key
     """Each stratum in hash order, cut at floor(cumulative share * size)."""
     cuts = [(s, i, float(c)) for s, p in shares.items() for i, c in enumerate(np.cumsum(p)[:-1])]
     kind = df.schema[stratum].dataType.simpleString()
-    cut_table = df.sparkSession.createDataFrame(cuts, f"`{stratum}` {kind}, slot int, cum_share double")
+    cut_table = small_table(df.sparkSession, cuts, f"`{stratum}` {kind}, slot int, cum_share double")
     return assign_by_cuts(df.withColumn("_u", uniform(salt, key)), stratum, "_u", key, cut_table, out).drop("_u")
 
 
@@ -94,10 +95,10 @@ def greedy_owners(sizes: Mapping, targets: Sequence[float], order: Sequence) ->
 
 
 def apply_owners(df: DataFrame, region: str, owner: Mapping, out: str = "client") -> DataFrame:
-    """Client of the region each customer lives in. The map has at most ``MAX_GROUPS`` rows, and its size is known to the
-    planner, which broadcasts it when small."""
+    """Client of the region each customer lives in. The map has at most ``MAX_GROUPS`` rows and is a local
+    relation, so the planner knows its size and broadcasts it when small."""
     kind = df.schema[region].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(list(owner.items()), f"`{region}` {kind}, `{out}` int")
+    table = small_table(df.sparkSession, list(owner.items()), f"`{region}` {kind}, `{out}` int")
     return df.join(table, region, "left")
 
 

@@ -14,7 +14,7 @@ from riskloom.functions.hashing import bootstrap_seeds, poisson_weights
 from riskloom.functions.stats import chi2_sf
 from riskloom.operators.metrics import auc
 from riskloom.operators.ordered import argmax_first
-from riskloom.session import materialise
+from riskloom.session import materialise, small_table
 
 # Blend weights 0, 0.05, ..., 1.
 GRID = [i / 20 for i in range(21)]
@@ -70,6 +70,22 @@ def _solve(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return step * min(1.0, 5.0 / size) if size > 0 else step
 
 
+def _solve_arrow(diagonal: np.ndarray, border: np.ndarray, corner: float, g: np.ndarray, last: float) -> np.ndarray:
+    """Newton step of own intercepts and one shared slope: the diagonal block is eliminated, so it is linear in clients."""
+    d = np.maximum(diagonal, 1e-300)
+    rest = corner - (border**2 / d).sum()
+    slope = (last - (border * g / d).sum()) / rest if rest > 1e-12 * max(corner, 1e-300) else 0.0
+    step = np.append((g - border * slope) / d, slope)
+    size = np.abs(step).max(initial=0.0)
+    return step * min(1.0, 5.0 / size) if size > 0 else step
+
+
+def calibration_rates(df: DataFrame, client: str = "client", score: str = "prob", target: str = "TARGET") -> DataFrame:
+    """Observed and mean predicted rate per client."""
+    known = df.filter(F.col(score).isNotNull())
+    return known.groupBy(client).agg(F.avg(F.col(target).cast("double")).alias("observed_rate"), F.avg(score).alias("mean_predicted"), F.count(F.lit(1)).alias("n"))
+
+
 def calibration_test(df: DataFrame, client: str = "client", score: str = "prob", target: str = "TARGET", steps: int = 40, tol: float = 1e-9) -> tuple[dict, list[dict]]:
     """Three nested logistic fits of the outcome on logit(score): shared line, own intercepts, own slopes. Returns the two
     likelihood-ratio tests and the per-client line with observed and predicted rate. Every Newton step of all three fits
@@ -94,8 +110,8 @@ def calibration_test(df: DataFrame, client: str = "client", score: str = "prob",
     kind = df.schema[client].dataType.simpleString()
     ll = np.zeros(3)
     for _ in range(steps):
-        table = df.sparkSession.createDataFrame(
-            [(ids[i], *[float(v) for m in range(3) for v in (a[m, i], b[m, i])]) for i in range(k)],
+        table = small_table(
+            df.sparkSession, [(ids[i], *[float(v) for m in range(3) for v in (a[m, i], b[m, i])]) for i in range(k)],
             f"`{client}` {kind}, a0 double, b0 double, a1 double, b1 double, a2 double, b2 double",
         )
         sums = {r[client]: r for r in _fit_sums(data, client, table, 3).collect()}
@@ -113,11 +129,7 @@ def calibration_test(df: DataFrame, client: str = "client", score: str = "prob",
         on = np.flatnonzero(two)
         if len(on):
             m = len(on)
-            h = np.zeros((m + 1, m + 1))
-            h[np.arange(m), np.arange(m)] = get("h00", 1)[on]
-            h[:m, m] = h[m, :m] = get("h01", 1)[on]
-            h[m, m] = get("h11", 1)[on].sum()
-            d = _solve(h, np.append(get("g0", 1)[on], get("g1", 1)[on].sum()))
+            d = _solve_arrow(get("h00", 1)[on], get("h01", 1)[on], get("h11", 1)[on].sum(), get("g0", 1)[on], get("g1", 1)[on].sum())
             a[1, on] += d[:m]
             b[1] += d[m]
             moved = max(moved, np.abs(d).max())
@@ -129,6 +141,8 @@ def calibration_test(df: DataFrame, client: str = "client", score: str = "prob",
                 moved = max(moved, np.abs(d).max())
         if moved < tol:
             break
+    else:
+        raise RuntimeError(f"the calibration fits did not converge in {steps} steps")
     n = sum(r["n"] for r in info)
     first, second = 2 * (ll[1] - ll[0]), 2 * (ll[2] - ll[1])
     test = {
@@ -171,10 +185,11 @@ def _slope_sums(ids: list, params: np.ndarray, rounds: int):
 
 
 def bootstrap_slopes(
-    df: DataFrame, rounds: int, seed: int = 42, client: str = "client", score: str = "prob", target: str = "TARGET", key: str = "SK_ID_CURR", steps: int = 25, tol: float = 1e-7
+    df: DataFrame, rounds: int, seed: int = 42, client: str = "client", score: str = "prob", target: str = "TARGET", key: str = "SK_ID_CURR", steps: int = 40, tol: float = 1e-7
 ) -> list[dict]:
     """95% interval of each client's calibration slope over Poisson resamples. Rows stay where they are: a Newton step for
-    all clients and rounds is one pass that returns seven sums per client and round."""
+    all clients and rounds is one pass that returns seven sums per client and round. ``rounds_used`` counts the resamples
+    whose line converged."""
     s1, s2 = bootstrap_seeds(seed, key)
     data = materialise(
         df.filter(F.col(score).isNotNull()).select(
@@ -205,6 +220,7 @@ def bootstrap_slopes(
         params[:, 1] += d1 * shrink
         if max(np.abs(d0).max(initial=0.0), np.abs(d1).max(initial=0.0)) < tol:
             break
+    live &= np.maximum(np.abs(d0), np.abs(d1)) < 1e-6  # a resample without a finite line never settles; it is not used
     out = []
     for i, c in enumerate(ids):
         slopes = params[i, 1, live[i]]

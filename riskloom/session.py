@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,7 +33,7 @@ def get_session(app: str = "riskloom", master: str | None = None, **conf: str) -
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only on a local master without it."""
+    """The shared folder named by ``spark.checkpoint.dir``; without it, one below the shared warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -40,11 +42,10 @@ def scratch_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="riskloom-")
+    # the warehouse is shared by all executors, as a temporary folder of this machine would not be
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -52,8 +53,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Let the file system delete an intermediate table when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A driver-built table as a local relation: unlike ``createDataFrame`` of rows, the planner knows its size."""
+    fields = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    return spark.createDataFrame(pa.table({f.name: pa.array(c, to_arrow_type(f.dataType)) for f, c in zip(fields, columns, strict=True)}), fields)
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives executor loss, keeps column pruning."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

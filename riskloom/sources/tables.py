@@ -39,13 +39,6 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, most: int = 32) -> DataFrame:
-    """Use the cores on a table of a few small files (one small Parquet file is one task). Only tables with fewer than
-    ``most`` input splits are touched, so the extra shuffle is bounded and large tables are returned unchanged."""
-    target = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    return df if df.rdd.getNumPartitions() >= target else df.repartition(target)
-
-
 def cast_numeric(df: DataFrame, strings: Sequence[str]) -> DataFrame:
     """Everything but ids and the named string columns to double (unparsable -> NULL)."""
     keep = set(strings)

@@ -21,7 +21,7 @@ def duck():
 
 def test_every_inventory_family_is_registered():
     names = list(entry.queries())
-    want = {"s": 10, "p": 21, "j": 11, "a": 19, "w": 7, "u": 6, "e": 12, "g": 18, "pt": 7, "d": 6, "m": 13, "c": 7, "h": 3, "ml": 9}
+    want = {"s": 10, "p": 21, "j": 11, "a": 19, "w": 7, "u": 6, "e": 12, "g": 18, "pt": 7, "d": 6, "m": 13, "c": 7, "h": 3, "ml": 6}
     for family, n in want.items():
         for i in range(1, n + 1):
             tag = f"{family}{i}_" if family == "ml" else f"{family}{i:02d}_"

@@ -103,9 +103,3 @@ def test_unseen_category_goes_to_other(spark):
     assert [tuple(r) for r in enc.transform(df).collect()] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
     arr = enc.transform_array(df).first()["features"]
     assert arr == [1.0, 0.0, 0.0]
-
-
-def test_fit_sample_keeps_small_groups_whole(spark):
-    df = spark.range(300).select("id", F.when(F.col("id") < 250, 0).otherwise(1).alias("client"))
-    got = {r["client"]: r["count"] for r in E.fit_sample(df, ["id"], 60, 1, "client").groupBy("client").count().collect()}
-    assert got == {0: 60, 1: 50}

@@ -128,3 +128,22 @@ def test_grid_is_exploded_from_literals(spark):
 def test_own_predictions(spark):
     df = spark.createDataFrame([(1, 0, 0, 0.1), (1, 1, 0, 0.2)], "SK_ID_CURR int, model int, client int, prob double")
     assert S.own_predictions(df).select(F.max("prob")).first()[0] == 0.1
+
+
+def test_arrow_step_equals_the_dense_solution():
+    from riskloom.operators.shift import _solve, _solve_arrow
+
+    rng = np.random.default_rng(1)
+    d, b, g = rng.uniform(5, 9, 6), rng.normal(size=6), rng.normal(size=6)
+    h = np.diag(np.append(d, 20.0))
+    h[:6, 6] = h[6, :6] = b
+    assert _solve_arrow(d, b, 20.0, g, 0.7) == pytest.approx(_solve(h, np.append(g, 0.7)))
+
+
+def test_driver_built_tables_have_a_known_size(spark):
+    from riskloom.session import small_table
+
+    table = small_table(spark, [(1, 0.5), (2, None)], "client int, w double")
+    assert "LocalRelation" in table._jdf.queryExecution().optimizedPlan().toString()
+    plan = spark.range(100).withColumnRenamed("id", "client").join(table, "client", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
