@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from riskloom.llm.common import slices, text_array
+from riskloom.llm.common import bounded, slices, text_array
 
 #: Words kept in each of two generations.
-KEEP = 300_000
+KEEP = 200_000
 #: Words that one recursive query encodes.
-WORDS_PER_QUERY = 50_000
-SLICE_BYTES = 2 << 20
-DUCKDB_MEMORY = "600MB"
+WORDS_PER_QUERY = 25_000
+SLICE_BYTES = 1 << 20
+DUCKDB_MEMORY = "300MB"
 
 #: Where a text may be cut: before a blank that follows no white space. No match of the pattern spans such a place.
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -76,7 +76,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "allocator_flush_threshold": "1MB"})
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -216,4 +216,4 @@ def tokenize(documents: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
 
     kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.LongType())]
     schema = T.StructType([*documents.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=False))])
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(bounded(run), schema)

@@ -6,8 +6,11 @@ class of single bytes, so words, their hashes and shingles are found on the raw
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 import riskloom
 from riskloom.session import materialise, scratch_path
 
-__all__ = ["ROWS_PER_BATCH", "Words", "materialise", "prepare", "read", "scratch_path", "slices", "text_array", "word_shingles"]
+__all__ = ["ROWS_PER_BATCH", "Words", "bounded", "materialise", "prepare", "read", "scratch_path", "slices", "text_array", "word_shingles"]
 
 #: Rows in one Arrow batch sent to Python; whole texts are long, so fewer than Spark's default.
 ROWS_PER_BATCH = 1000
@@ -38,6 +41,19 @@ BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _powers: dict[str, np.ndarray] = {}
 
 
+def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task function, which hands freed memory back at its end: workers are kept for later tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return task
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package where it is not installed, and send them small batches."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(riskloom.__file__)))

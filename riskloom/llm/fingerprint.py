@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import text_array
+from riskloom.llm.common import bounded, text_array
 
 PIECE = 4
 SECTION = 8
@@ -186,4 +186,4 @@ def fingerprints(documents: DataFrame, ranges: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), FIELDS, strict=True)], [n for n, _ in FIELDS])
                 out = []
 
-    return placed.select("range_no", "extra", "doc_id", "text").mapInArrow(run, RESULT)
+    return placed.select("range_no", "extra", "doc_id", "text").mapInArrow(bounded(run), RESULT)

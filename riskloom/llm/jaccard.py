@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Words, materialise, slices, text_array, word_shingles
+from riskloom.llm.common import Words, bounded, materialise, slices, text_array, word_shingles
 from riskloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -90,7 +90,7 @@ def sketch(documents: DataFrame) -> DataFrame:
                 rows = [x.tobytes() if len(s) else None for x, s in zip(sig, sets, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "digest", "sig"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, digest binary, sig binary")
+    return documents.select("doc_id", "text").mapInArrow(bounded(run), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, digest binary, sig binary")
 
 
 def least_matches(threshold: float = SIMILARITY, tolerance: float = TOLERANCE) -> np.ndarray:
@@ -247,12 +247,12 @@ def join(documents: DataFrame, threshold: float = SIMILARITY, block: int = BLOCK
     )
     dealt = dealt.join(reps, F.col("d") == F.col("digest")).select(*KEYS, "block", "digest", "rep", "n_docs", "sig")
     grouped = dealt.repartition(*KEYS).sortWithinPartitions(*KEYS, "digest")
-    to_verify = materialise(grouped.mapInArrow(by_group(survivors), grouped.schema), "survivors")
+    to_verify = materialise(grouped.mapInArrow(bounded(by_group(survivors)), grouped.schema), "survivors")
 
     texts = documents.select(F.col("doc_id").alias("_id"), "text").where("text is not null")
     beside = to_verify.join(texts, F.col("rep").eqNullSafe(F.col("_id"))).select(*KEYS, "block", "digest", "n_docs", "sig", "text")
     beside = beside.repartition(*KEYS).sortWithinPartitions(*KEYS, "digest")
-    links = materialise(beside.mapInArrow(by_group(verified(threshold)), "digest binary, root binary, linked bigint"), "links")
+    links = materialise(beside.mapInArrow(bounded(by_group(verified(threshold))), "digest binary, root binary, linked bigint"), "links")
 
     near = links.groupBy("digest").agg(F.sum("linked").alias("linked"))
     of = components(links, "digest", "root")

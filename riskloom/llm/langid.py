@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import materialise, slices, text_array
+from riskloom.llm.common import bounded, materialise, slices, text_array
 
 ORDER = 4
 MAX_NGRAMS = 2_000_000
@@ -92,12 +92,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = text_array(batch.column(1))
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        for a, b in slices(texts, 1 << 22):
+        for a, b in slices(texts):
             keys, number, _ = characters(texts.slice(a, b - a).to_pylist())
             for lang in set(langs[a:b]):
                 mine = keys[(langs[a:b] == lang)[number]]
                 waiting.setdefault(lang, []).append(mine)
-                if sum(map(len, waiting[lang])) > 1 << 21:
+                if sum(map(len, waiting[lang])) > 1 << 19:
                     fold(lang)
     for lang in list(waiting):
         fold(lang)
@@ -109,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_ngrams(learn: DataFrame) -> DataFrame:
     """(lang, key, n) over all rows of (lang, text)."""
-    return learn.select("lang", "text").mapInArrow(_count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return learn.select("lang", "text").mapInArrow(bounded(_count), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def smooth(keys: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: list[str], order: int = ORDER) -> dict:
@@ -236,7 +236,7 @@ def predict(documents: DataFrame, model: dict | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own.columns, *new], [*own.schema.names, *(x for x, _ in ADDED)])
 
     schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("n_letters", T.LongType())])
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(bounded(run), schema)
 
 
 def calibrates(doc_id: Column) -> Column:

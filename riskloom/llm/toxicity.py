@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import text_array
+from riskloom.llm.common import bounded, text_array
 
 WORD = re.compile(r"[^\W\d_]+")
 REPEAT = 4
@@ -44,11 +44,11 @@ CUTS = (3, 4, 5, 6)
 BEGINNINGS = (4, 5, 7)
 SAMPLE_LINES = 40_000
 PAIRS = 2
-FIT_ROWS = 4000
-FIT_CHARS = 48_000_000
+FIT_ROWS = 3000
+FIT_CHARS = 24_000_000
 ORDINARY_BYTES = 60_000
 TOXIC_BYTES = 3_000
-KEEP = 300_000
+KEEP = 150_000
 THRESHOLD = 0.7
 
 
@@ -216,8 +216,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, **bounds) -> dic
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], ["toxic", "x"])
 
     # each half is measured with the dictionaries of the other one
-    held = spark.createDataFrame([(r[1], 1 - side, r[2]) for side in (0, 1) for r in groups[side]], "toxic int, fold int, text string").repartition(16)
-    got = held.mapInArrow(measure, "toxic int, x array<double>").collect()  # at most 4 * rows of eight numbers
+    marks = F.broadcast(spark.createDataFrame([(r[0], r[1], 1 - side) for side in (0, 1) for r in groups[side]], "id bigint, toxic int, fold int"))  # at most 4 * rows
+    held = documents.where(learn).join(marks, F.col("doc_id") == F.col("id")).select(marks["toxic"], "fold", F.coalesce("text", F.lit("")).alias("text"))
+    got = held.mapInArrow(bounded(measure), "toxic int, x array<double>").collect()  # eight numbers a row
     x = np.array([r["x"] for r in got])
     return {"pairs": train(*by_label(rows)), "weights": logistic(x, np.array([r["toxic"] for r in got], float))}
 
@@ -240,4 +241,4 @@ def score(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(bounded(run), schema)
