@@ -146,7 +146,9 @@ def ranges(spans: list[tuple[int, int]], gap: int, most: int) -> list[tuple[int,
 
 def read_records(selected: DataFrame, folder: str, gap: int = GAP, most: int = MOST, with_payload: bool = True) -> DataFrame:
     """The records of the selected index rows."""
-    placed = selected.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
+    # index rows are small but the records behind them are not, so the number of tasks must not follow the rows' size
+    tasks = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = selected.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
