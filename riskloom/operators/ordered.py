@@ -6,7 +6,7 @@
 * ``group_quantiles``: exact interpolated quantiles. A mergeable sketch brackets each quantile; only rows inside the
   bracket are sorted.
 * ``hashed_rank`` / ``assign_by_cuts``: ranks in a hash order, and rank cuts turned into hash thresholds, so that the
-  big table is labelled by comparison without being sorted or shuffled.
+  big table is labelled by comparison; only rows near a cut are shuffled and sorted.
 """
 
 from __future__ import annotations
@@ -239,18 +239,25 @@ def hashed_prefix(df: DataFrame, u: str, tie: str, weight: str, out: str = "star
 
 def cut_thresholds(df: DataFrame, stratum: str, u: str, tie: str, cuts: DataFrame, ranges: int = HASH_RANGES) -> DataFrame:
     """Per stratum an ascending array of (u, tie) thresholds, one per row of ``cuts`` (stratum, slot, upto): the row whose
-    rank is ``upto``. Only hash ranges that contain a cut are ranked. ``upto`` may also come as ``cum_share``: the rank is
-    then floor(cum_share * stratum size)."""
+    rank is ``upto``. ``upto`` may also come as ``cum_share``: the rank is then floor(cum_share * stratum size).
+
+    Two scans: one counts rows by stratum and hash range, the second keeps the rows of ranges that hold a cut, by a
+    literal predicate of at most one value per cut, so only about (cuts / ranges) of the rows are shuffled and ranked."""
     cut = df.select(stratum, u, tie).withColumn("_range", _hash_range(u, ranges))
-    offsets = _range_offsets(cut, [stratum])
+    offsets = materialise(_range_offsets(cut, [stratum]), "range-counts")
     sized = offsets.groupBy(stratum).agg(F.max("_size").alias("_size"))
     wanted = cuts.join(sized, stratum)
     if "upto" not in cuts.columns:
         wanted = wanted.withColumn("upto", F.floor(F.col("cum_share") * F.col("_size")))
     wanted = wanted.select(stratum, "slot", "upto")
-    at = offsets.join(wanted, stratum).filter((F.col("upto") > F.col("_before")) & (F.col("upto") <= F.col("_before") + F.col("_n")))
+    at = materialise(
+        offsets.join(wanted, stratum).filter((F.col("upto") > F.col("_before")) & (F.col("upto") <= F.col("_before") + F.col("_n"))), "cut-ranges"
+    )
     boundary = at.select(stratum, "_range", "_before").distinct()
-    ranked = cut.join(boundary, [stratum, "_range"]).withColumn(
+    place = f"xxhash64(`{stratum}`, _range)"
+    held = ", ".join(f"{r['h']}L" for r in boundary.selectExpr(f"{place} as h").distinct().collect())  # at most a row per cut
+    near = cut.filter(f"{place} in ({held})" if held else "false")
+    ranked = near.join(boundary, [stratum, "_range"]).withColumn(
         "_rank", F.col("_before") + F.row_number().over(Window.partitionBy(stratum, "_range").orderBy(u, tie))
     )
     found = ranked.join(at.select(stratum, "_range", "slot", "upto"), [stratum, "_range"]).filter("_rank = upto")

@@ -2,7 +2,7 @@
 
 Random draws are two kinds: a few Dirichlet numbers per stratum from numpy on the driver, and a hash of the customer key
 that fixes each customer's place in its stratum. Cutting a stratum at floor(cumulative share * size) of that order is
-done by thresholds, so customers are neither sorted nor shuffled.
+done by thresholds, so only customers near a cut are sorted and shuffled.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import hash_bucket, uniform
 from riskloom.operators.contracts import ContractError
-from riskloom.operators.ordered import assign_by_cuts
+from riskloom.operators.ordered import assign_by_cuts, hashed_rank
 from riskloom.operators.summaries import dense_counts
-from riskloom.session import small_table
+from riskloom.session import materialise, small_table
 
 KEY, TARGET = "SK_ID_CURR", "TARGET"
 SPLITS = ["train", "val", "test"]
@@ -82,6 +82,21 @@ def share_partition(df: DataFrame, stratum: str, shares: Mapping, salt: str, key
     return assign_by_cuts(df.withColumn("_u", uniform(salt, key)), stratum, "_u", key, cut_table, out).drop("_u")
 
 
+def rank_once(splits: DataFrame, stratum: str, salt: str, key: str = KEY) -> DataFrame:
+    """(stratum, split, TARGET, rank) in the hash order of ``share_partition``, written for all attempts of a search."""
+    columns = dict.fromkeys([key, stratum, "split", TARGET])
+    work = splits.select(*columns).withColumn("_u", uniform(salt, key))
+    return materialise(hashed_rank(work, [stratum], "_u", key).drop(key, "_u"), "ranked")
+
+
+def cut_ranks(ranked: DataFrame, stratum: str, shares: Mapping, sizes: Mapping, out: str = "client") -> DataFrame:
+    """The clients that ``share_partition`` would give, from the ranks."""
+    kind = ranked.schema[stratum].dataType.simpleString()
+    cuts = [(s, [math.floor(float(c) * sizes[s]) for c in np.cumsum(p)[:-1]]) for s, p in shares.items()]
+    table = small_table(ranked.sparkSession, cuts, f"`{stratum}` {kind}, _cuts array<bigint>")
+    return ranked.join(table, stratum).withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col("rank")))).drop("_cuts", "rank")
+
+
 # ----------------------------------------------------------------------------------------------------------- territories
 def greedy_owners(sizes: Mapping, targets: Sequence[float], order: Sequence) -> dict:
     """Whole regions in the given order, each to the client furthest below its target size (first wins ties)."""
@@ -159,7 +174,8 @@ def partition_clients(
 ) -> tuple[DataFrame, dict]:
     """Draw until the constraints hold. ``splits`` has the key, TARGET, split and, unless the method is
     ``dirichlet_label``, the attribute column; the split column is never changed. Territories are decided entirely on a
-    small count table, the other methods on one grouped count per attempt."""
+    small count table. The other methods rank the customers once in a hash order; an attempt draws new shares and counts
+    the ranks between their cuts."""
     rng = np.random.default_rng(seed)
     if method == "region_territory":
         cells = small_counts(splits, [attribute, "split", TARGET])
@@ -176,13 +192,14 @@ def partition_clients(
                 return apply_owners(splits, attribute, owner), {"attempts": attempt, "target_share": target, "owner": owner}
     elif method in ("dirichlet_label", "segment_mix"):
         stratum = TARGET if method == "dirichlet_label" else attribute
-        strata = [r[stratum] for r in small_counts(splits, [stratum])]
+        sizes = {r[stratum]: r["n"] for r in small_counts(splits, [stratum])}
+        salt = f"{method}{seed}"
+        ranked = rank_once(splits, stratum, salt)
         for attempt in range(1, max_tries + 1):
-            shares = dirichlet_shares(strata, clients, alpha, rng, floor if method == "segment_mix" else 0.0)
-            out = share_partition(splits, stratum, shares, f"{method}{seed}:{attempt}")
-            rows = constraint_counts(out, clients).collect()
+            shares = dirichlet_shares(sizes, clients, alpha, rng, floor if method == "segment_mix" else 0.0)
+            rows = constraint_counts(cut_ranks(ranked, stratum, shares, sizes), clients).collect()
             if _holds({(r["client"], r["split"], r[TARGET]): r["n"] for r in rows}, clients, min_share, min_cell):
-                return out, {"attempts": attempt, "shares": shares}
+                return share_partition(splits, stratum, shares, salt), {"attempts": attempt, "shares": shares}
     else:
         raise ValueError(f"unknown partition method: {method}")
     raise RuntimeError("no assignment meets the constraints; relax them or raise alpha")

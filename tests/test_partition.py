@@ -50,6 +50,24 @@ def test_every_customer_gets_one_client(spark, method, attribute):
         assert out.groupBy(attribute).agg(F.count_distinct("client").alias("k")).filter("k > 1").isEmpty()
 
 
+def test_cutting_ranks_gives_the_shared_partition(spark):
+    splits = customers(spark)
+    sizes = {r["NAME_INCOME_TYPE"]: r["n"] for r in P.small_counts(splits, ["NAME_INCOME_TYPE"])}
+    shares = P.dirichlet_shares(sizes, 4, 0.7, P.np.random.default_rng(3))
+    keys = ["NAME_INCOME_TYPE", "split", P.TARGET, "client"]
+    a = P.cut_ranks(P.rank_once(splits, "NAME_INCOME_TYPE", "x"), "NAME_INCOME_TYPE", shares, sizes).groupBy(*keys).count()
+    b = P.share_partition(splits, "NAME_INCOME_TYPE", shares, "x").groupBy(*keys).count()
+    assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_cut_plan_does_not_shuffle_the_table(spark):
+    """The labelled table is scanned and compared: its plan has no exchange by key, only the broadcast of thresholds."""
+    splits = customers(spark)
+    shares = P.dirichlet_shares([r["NAME_INCOME_TYPE"] for r in P.small_counts(splits, ["NAME_INCOME_TYPE"])], 4, 0.7, P.np.random.default_rng(3))
+    plan = P.share_partition(splits, "NAME_INCOME_TYPE", shares, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_impossible_constraints_are_an_error(spark):
     with pytest.raises(RuntimeError):
         P.partition_clients(customers(spark), "dirichlet_label", 3, 0.5, 1, min_cell=10**6, max_tries=2)
