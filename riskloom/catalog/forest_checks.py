@@ -151,7 +151,7 @@ def root_customer(t):
 
 def edge_nodes(t, policy="placeholder"):
     fixed = G.resolve_orphans(plain_nodes(t), policy)
-    return {**fixed, G.PREV: materialise(fixed[G.PREV], "prev"), **{k: materialise(G.event_ids(fixed[k]), k) for k in G.EVENTS}}
+    return {**fixed, G.PREV: materialise(fixed[G.PREV], "prev"), **{k: G.with_event_keys(materialise(fixed[k], k)) for k in G.EVENTS}}
 
 
 @query("g11_edges", f"""
@@ -166,12 +166,16 @@ def edges(t):
 
 
 @query("g12_validate", f"""
-with f as (select 'customer->bureau' as relation, SK_ID_CURR as root from bureau union all select 'customer->prev', SK_ID_CURR from {LOANS} l
- union all select 'prev->'||node_type, SK_ID_CURR from {KEPT} k)
-select relation, count(*) as edges, cast(0 as bigint) as edges_without_parent, cast(0 as bigint) as reverse_differences, cast(0 as bigint) as children_without_one_parent, cast(0 as bigint) as cross_customer_edges from f group by relation""")
+with f as (select 'customer->bureau' as relation, SK_ID_BUREAU % 97 = 0 as one_way, false as moved, false as lost from bureau
+ union all select 'customer->prev', false, SK_ID_PREV % 101 = 0, false from {LOANS} l
+ union all select 'prev->'||node_type, false, false, node_type = 'installment' and SK_ID_PREV % 89 = 0 from {KEPT} k)
+select relation, count_if(not lost)::bigint as edges, count_if(moved)::bigint as edges_without_parent, count_if(one_way)::bigint as reverse_differences, count_if(lost)::bigint as children_without_one_parent, count_if(moved)::bigint as cross_customer_edges from f group by relation""")
 def validate(t):
+    """With injected faults: edges that miss, edges to a parent that does not exist, edges without their reverse."""
     nodes = edge_nodes(t)
-    return rounded(G.validate_forest(nodes, G.edges(nodes)))
+    forward = G.edges(nodes, reverse=False).filter("not (rel = 'has_installment' and src % 89 = 0)")
+    moved = forward.withColumn("src", F.when((F.col("rel") == "has_prev") & (F.col("dst") % 101 == 0), F.lit(-1)).otherwise(F.col("src")))
+    return rounded(G.validate_forest(nodes, G.with_reverse(moved).filter("not (rel = 'rev_has_bureau' and src % 97 = 0)")))
 
 
 @query("g13_subgraph", f"""

@@ -261,7 +261,7 @@ ID_CHUNK = 100_000
 
 
 def event_ids(events: DataFrame) -> DataFrame:
-    """``event_id``: dense number from 1 in the order of a row hash. Identical rows are counted first and numbered by
+    """``event_id`` for an export: dense number from 1 in the order of a row hash. Identical rows are counted first and numbered by
     expanding the count, in chunks spread over tasks, so that a large group of copies is never sorted or expanded in one
     place."""
     cols = events.columns
@@ -277,9 +277,15 @@ def event_ids(events: DataFrame) -> DataFrame:
     return few.unionByName(many.select(*cols, F.explode(F.sequence(low + 1, high)).alias("event_id")))
 
 
+def with_event_keys(events: DataFrame) -> DataFrame:
+    """``event_id``: a hash of the whole row, so identical rows share it. Needs no shuffle; edges and their validation
+    count multiplicities. For an export with one number per row use ``event_ids``."""
+    return events.withColumn("event_id", F.xxhash64(*events.columns))
+
+
 def edges(nodes: Mapping[str, DataFrame], reverse: bool = True) -> DataFrame:
     """(src_type, rel, dst_type, src, dst, root_id) for every relation, with the ``rev_`` twins. Event tables need an
-    ``event_id`` (see ``event_ids``)."""
+    ``event_id`` (see ``with_event_keys``, ``event_ids``)."""
     ident = {CUSTOMER: ROOT, BUREAU: "SK_ID_BUREAU", PREV: LOAN, **dict.fromkeys(EVENTS, "event_id")}
     parts = []
     for r in RELATIONS:
@@ -308,7 +314,8 @@ def with_reverse(forward: DataFrame) -> DataFrame:
 def validate_forest(nodes: Mapping[str, DataFrame], edge: DataFrame) -> DataFrame:
     """Per relation: edges, edges with an unknown parent, children without exactly one parent, edges that differ from
     their reverse, and edges that connect two customers' trees. All relations in one pass: forward and reverse edges meet
-    in one grouping, parents and children are looked up once."""
+    in one grouping, parents and children are looked up once. Identical events share a key, so what is compared is how
+    often each edge and each child occurs."""
     backward = F.col("rel").startswith("rev_")
     oriented = edge.select(
         F.when(backward, F.substring("rel", 5, 1000)).otherwise(F.col("rel")).alias("rel"),
@@ -330,13 +337,16 @@ def validate_forest(nodes: Mapping[str, DataFrame], edge: DataFrame) -> DataFram
     per_edge = pairs.join(known, ["rel", "src", "root_id"], "left").groupBy("rel").agg(
         F.sum("f").alias("edges"),
         F.sum(F.when(F.col("known").isNull(), F.col("f")).otherwise(F.lit(0))).alias("edges_without_parent"),
-        F.count_if(F.col("f") != F.col("r")).alias("reverse_differences"),
+        F.sum(F.abs(F.col("f") - F.col("r"))).alias("reverse_differences"),
         F.sum(F.when(to_customer & (F.col("src") != F.col("root_id")), F.col("f")).otherwise(F.lit(0))).alias("cross_customer_edges"),
     )
-    degree = pairs.groupBy("rel", "dst", "root_id").agg(F.sum("f").alias("d"))
+    degree = pairs.groupBy("rel", "dst", "root_id").agg(F.sum("f").alias("d"), F.count_if(F.col("f") > 0).alias("sources"))
     seen = children.groupBy("rel", "dst", "root_id").agg(F.count(F.lit(1)).alias("n"))
-    one = F.coalesce((F.col("n") == 1) & (F.col("d") == 1), F.lit(False))
-    per_child = seen.join(degree, ["rel", "dst", "root_id"], "full_outer").groupBy("rel").agg(F.count_if(~one).alias("children_without_one_parent"))
+    n, d = F.coalesce("n", F.lit(0)), F.coalesce("d", F.lit(0))
+    copies = F.col("rel").isin([r.name for r in RELATIONS if r.child in EVENTS]) & (F.coalesce("sources", F.lit(0)) <= 1)
+    # identical events have one source, so only the numbers can differ; any other child is unique and has one edge
+    wrong = F.when(copies, F.abs(n - d)).otherwise(F.when((n == 1) & (d == 1), F.lit(0)).otherwise(F.greatest(n, F.lit(1))))
+    per_child = seen.join(degree, ["rel", "dst", "root_id"], "full_outer").groupBy("rel").agg(F.sum(wrong).alias("children_without_one_parent"))
     names = F.create_map(*[F.lit(x) for r in RELATIONS for x in (r.name, f"{r.parent}->{r.child}")])
     return per_child.join(per_edge, "rel", "left").select(F.element_at(names, F.col("rel")).alias("relation"), *per_edge.columns[1:], "children_without_one_parent")
 

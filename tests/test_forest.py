@@ -80,7 +80,7 @@ def test_structural_features(nodes):
 
 def ready(nodes):
     fixed = G.resolve_orphans(nodes)
-    return {**fixed, **{k: G.event_ids(fixed[k]) for k in G.EVENTS}}
+    return {**fixed, **{k: G.with_event_keys(fixed[k]) for k in G.EVENTS}}
 
 
 def test_edges_and_validation(nodes):
@@ -99,6 +99,15 @@ def test_edges_and_validation(nodes):
         G.require_valid_forest(full, doubled)
 
 
+def test_validation_counts_identical_events(nodes):
+    full = ready({**nodes, "pos": nodes["pos"].unionByName(nodes["pos"])})
+    edge = G.edges(full)
+    n = {r["relation"]: r["edges"] for r in rows(G.require_valid_forest(full, edge))}["prev->pos"]
+    kept = edge.filter("rel not in ('has_pos', 'rev_has_pos')").unionByName(edge.filter("rel in ('has_pos', 'rev_has_pos')").distinct())
+    bad = {r["relation"]: r for r in rows(G.validate_forest(full, kept))}["prev->pos"]
+    assert bad["edges"] < n and bad["children_without_one_parent"] == n - bad["edges"] and bad["reverse_differences"] == 0
+
+
 def test_event_ids_are_dense(spark):
     df = spark.createDataFrame([(1, "a")] * 40 + [(i, "b") for i in range(60)], "x int, s string")
     ids = sorted(r["event_id"] for r in G.event_ids(df).collect())
