@@ -151,7 +151,8 @@ def root_customer(t):
 
 def edge_nodes(t, policy="placeholder"):
     fixed = G.resolve_orphans(plain_nodes(t), policy)
-    return {**fixed, G.PREV: materialise(fixed[G.PREV], "prev"), **{k: G.with_event_keys(materialise(fixed[k], k)) for k in G.EVENTS}}
+    events = {k: materialise(G.with_event_keys(fixed[k]).select(G.LOAN, G.ROOT, "event_id"), k) for k in G.EVENTS}
+    return {**fixed, G.PREV: materialise(fixed[G.PREV].select(G.LOAN, G.ROOT), "prev"), **events}
 
 
 @query("g11_edges", f"""
