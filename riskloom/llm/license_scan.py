@@ -1,9 +1,10 @@
 """Licence scan by sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame operations only. Every line of every file is compared with the templates. Vectors live on the templates' terms;
-all other terms of a line share the weight of a term never seen. Inverse document frequencies of template terms count all
-lines of the corpus. A line can only reach the threshold with a template if it holds one of that template's heaviest terms
-(prefix principle: without them the remaining mass is below threshold), so only such lines are scored.
+DataFrame operations only. Every line of every file is compared with the templates, as the set of its terms. The inverse
+document frequency of a term counts the lines of the whole corpus that hold it. A line can only reach the threshold with a
+template if it holds one of that template's heaviest terms (prefix principle: without them the remaining mass is below
+threshold), and only if it would reach it were its terms outside the templates as light as a term can be (weight 1). The
+terms of such lines, once per distinct set, are joined to their frequencies; the scores are then exact.
 
 A file's own licence is that of its best line. A licence file (by its base name) speaks for its directory; every file
 without own licence takes the one of the nearest ancestor directory that has one. That join is between distinct
@@ -65,14 +66,11 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     if not 0 < len(vocabulary) <= MAX_TERMS:
         raise ValueError(f"templates have {len(vocabulary)} terms; 1 to {MAX_TERMS} are held as literals")
     known = _array(vocabulary)
-    lines = files.select("path", F.explode(line_terms(F.col("text"))).alias("all")).select(
-        "path", F.array_intersect("all", known).alias("terms"), F.size("all").alias("n")
-    )
-    shared = materialise(lines.where(F.size("terms") > 0).groupBy("terms").agg(F.count("*").alias("lines")), "term_sets")
-    frequency = {r["t"]: r["n"] for r in shared.select(F.explode("terms").alias("t"), "lines").groupBy("t").agg(F.sum("lines").alias("n")).collect()}  # at most MAX_TERMS rows
+    lines = files.select("path", F.explode(line_terms(F.col("text"))).alias("all"))
+    counts = materialise(lines.select(F.explode("all").alias("t")).groupBy("t").agg(F.count("*").alias("lines")), "term_lines")
+    frequency = {r["t"]: r["lines"] for r in counts.where(F.col("t").isin(vocabulary)).collect()}  # at most MAX_TERMS rows
     total = files.select(F.sum(F.size(F.split(F.col("text"), "\n"))).alias("n")).first()["n"] or 0
     idf = {t: math.log((1 + total) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
-    rare = math.log(1 + total) + 1
 
     needed: set[str] = set()
     for bag in bags.values():  # the heaviest terms without which the rest of the template has a cosine below the threshold
@@ -82,20 +80,30 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
                 break
             needed.add(t)
             rest -= idf[t] ** 2
-    candidates = lines.where(F.arrays_overlap("terms", _array(sorted(needed))))
+    bag_of = lines.where(F.arrays_overlap("all", _array(sorted(needed)))).select("path", F.array_intersect("all", known).alias("terms"), F.array_sort(F.array_except("all", known)).alias("others"))
 
     weight = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit(idf[t] ** 2))])
     square = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.element_at(weight, t))
-    length = F.sqrt(square + (F.col("n") - F.size("terms")) * F.lit(rare * rare))
-    scores = []
-    for name, bag in bags.items():
-        norm = math.sqrt(sum(idf[t] ** 2 for t in bag))
-        dot = F.aggregate(F.array_intersect(F.col("terms"), _array(bag)), F.lit(0.0), lambda a, t: a + F.element_at(weight, t))
-        scores.append(F.struct(F.round(dot / (length * F.lit(norm)), 9).alias("score"), F.lit(name).alias("license")))
+
+    def cosines(rest: F.Column) -> list[F.Column]:
+        scores = []
+        for bag in bags.values():
+            norm = math.sqrt(sum(idf[t] ** 2 for t in bag))
+            dot = F.aggregate(F.array_intersect(F.col("terms"), _array(bag)), F.lit(0.0), lambda a, t: a + F.element_at(weight, t))
+            scores.append(F.round(dot / (F.sqrt(square + rest) * F.lit(norm)), 9))
+        return scores
+
+    most = F.array_max(F.array(*cosines(F.size("others").cast("double"))))
+    candidates = materialise(bag_of.where(most >= threshold), "licence_lines")
+    each = candidates.select("others").distinct().select("others", F.explode("others").alias("term"))
+    seen = F.log(F.lit(1.0 + total) / (1 + F.col("lines"))) + 1
+    mass = each.join(counts, F.col("term") == F.col("t")).groupBy("others").agg(F.sum(seen * seen).alias("mass")).withColumnRenamed("others", "o")
+    weighed = candidates.join(mass, F.col("others") == F.col("o"), "left")
+    scores = cosines(F.coalesce("mass", F.lit(0.0)))
     # of equal scores the first template by name wins
     order = {name: -i for i, name in enumerate(bags)}
-    best = F.array_max(F.array(*[F.struct(s["score"].alias("score"), F.lit(order[n]).alias("order"), F.lit(n).alias("license")) for n, s in zip(bags, scores, strict=True)]))
-    found = candidates.select("path", best.alias("b")).where(F.col("b.score") >= threshold)
+    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(order[n]).alias("order"), F.lit(n).alias("license")) for n, s in zip(bags, scores, strict=True)]))
+    found = weighed.select("path", best.alias("b")).where(F.col("b.score") >= threshold)
     return found.groupBy("path").agg(F.max("b").alias("b")).select("path", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
 
 

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,26 @@ def test_licence_lines_of_the_documents(spark):
     assert any(r.inherited_license for r in rows)
 
 
+def test_licence_scores_equal_a_plain_computation(spark):
+    files = table(spark, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    more = [("x", "Released under the MIT License, says the author.\nreleased released MIT license"), ("y", "the terms of the Mozilla Public License, version 2.0 hold"), ("y", "zzz"), ("z", None)]
+    files = files.union(spark.createDataFrame(more, "path string, text string"))
+    lines = [(r.path, set(license_scan.terms(x))) for r in files.collect() for x in (r.text or "").split("\n") if r.text is not None]
+    seen = collections.Counter(t for _, bag in lines for t in bag)
+    idf = lambda t: math.log((1 + len(lines)) / (1 + seen[t])) + 1
+    norm = lambda bag: math.sqrt(sum(idf(t) ** 2 for t in bag))
+    templates = {n: set(license_scan.terms(x)) for n, x in sorted(license_scan.TEMPLATES.items())}
+    want = {}
+    for path, bag in lines:
+        for name, other in templates.items():
+            score = round(sum(idf(t) ** 2 for t in bag & other) / (norm(bag) * norm(other)), 9) if bag else 0
+            if score >= license_scan.THRESHOLD and score > want.get(path, ("", 0))[1]:
+                want[path] = name, score
+    got = {r.path: (r.license, r.score) for r in license_scan.scan(files).collect()}
+    assert "x" in got and len(got) > 3 and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+
+
 def test_inheritance_equals_a_walk_up_the_tree(spark):
     rows = q.op8_license_scan(spark, "/root/testdata/sf0.01").collect()
     speaking = collections.defaultdict(list)
