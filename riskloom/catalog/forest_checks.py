@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from riskloom.catalog.ordering import sql_u
+from riskloom.catalog.projections import INSTALLMENT_SQL
 from riskloom.catalog.registry import EXACT, query, rounded, sql_rnd
 from riskloom.operators import forest as G
 from riskloom.operators.contracts import restrict_to
@@ -24,15 +25,55 @@ def plain_nodes(t):
     }
 
 
-@query("g01_node_tables", """
-select 'customer' as node_type, count(*) as nodes from application where SK_ID_CURR in (select SK_ID_CURR from assignment where split = 'val')
-union all select 'bureau', count(*) from bureau where SK_ID_CURR in (select SK_ID_CURR from assignment where split = 'val')
-union all select 'prev', count(*) from previous_application where SK_ID_CURR in (select SK_ID_CURR from assignment where split = 'val')
-union all select 'installment', count(*) from installments_payments where SK_ID_CURR in (select SK_ID_CURR from assignment where split = 'val')
-union all select 'pos', count(*) from pos_cash_balance where SK_ID_CURR in (select SK_ID_CURR from assignment where split = 'val')
-union all select 'cc', count(*) from credit_card_balance where SK_ID_CURR in (select SK_ID_CURR from assignment where split = 'val')""")
+OWN = {G.CUSTOMER: "SK_ID_CURR", G.BUREAU: "SK_ID_BUREAU"}
+DERIVED = {
+    G.CUSTOMER: ["CREDIT_INCOME_RATIO", "ANNUITY_INCOME_RATIO", "PAYMENT_RATE", "GOODS_CREDIT_RATIO", "EXT_SOURCE_PROD", "DOCUMENT_COUNT"],
+    G.BUREAU: ["DEBT_CREDIT_RATIO", "OVERDUE_DEBT_RATIO", "HAS_BUREAU_BALANCE"],
+    G.PREV: list(C.PREVIOUS_RATIOS),
+    "installment": ["PAYMENT_RATIO", "PAYMENT_DIFF", "DPD", "DBD", "IS_PAYMENT_MISSING"],
+    "pos": ["CNT_INSTALMENT"],
+    "cc": list(C.CARD_RATIOS),
+}
+
+
+def total_of(columns):
+    """SQL of the sum of columns over all rows, missing cells as 0."""
+    return "sum(" + " + ".join(f"coalesce(cast({c} as double), 0e0)" for c in columns) + ")" if columns else "0e0"
+
+
+def sums_sql(own="SK_ID_PREV"):
+    """Which rows are there, not only how many: sums over customers and over pairs of customer and own id."""
+    return f"cast(sum(SK_ID_CURR) as bigint) as root_sum, cast(sum((SK_ID_CURR % 9973) * ({own} % 9973)) as bigint) as pair_sum"
+
+
+def row_sums(nodes, by=(), counted="nodes", derived=None):
+    """Per node type: rows, ``sums_sql`` and, if named, the total of the derived columns."""
+    out = None
+    for k, df in nodes.items():
+        own = OWN.get(k, "SK_ID_PREV")
+        extra = [F.expr(total_of(derived[k])).alias("derived_sum")] if derived else []
+        pair = (F.col("SK_ID_CURR") % 9973) * (F.col(own) % 9973)
+        part = df.groupBy(*by).agg(F.count(F.lit(1)).alias(counted), F.sum("SK_ID_CURR").alias("root_sum"), F.sum(pair).alias("pair_sum"), *extra)
+        part = part.withColumn("node_type", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 2)
+
+
+@query("g01_node_tables", " union all ".join(
+    f"select '{k}' as node_type, count(*) as nodes, {sums_sql(OWN.get(k, 'SK_ID_PREV'))}, {sql_rnd(total_of(DERIVED[k]), 2)} as derived_sum from ({source}) x where SK_ID_CURR in (select SK_ID_CURR from assignment where split = 'val')"
+    for k, source in {
+        "customer": """select *, AMT_CREDIT/nullif(AMT_INCOME_TOTAL,0) as CREDIT_INCOME_RATIO, AMT_ANNUITY/nullif(AMT_INCOME_TOTAL,0) as ANNUITY_INCOME_RATIO, AMT_ANNUITY/nullif(AMT_CREDIT,0) as PAYMENT_RATE,
+            AMT_GOODS_PRICE/nullif(AMT_CREDIT,0) as GOODS_CREDIT_RATIO, EXT_SOURCE_1*EXT_SOURCE_2*EXT_SOURCE_3 as EXT_SOURCE_PROD, FLAG_DOCUMENT_3+FLAG_DOCUMENT_6+FLAG_DOCUMENT_10 as DOCUMENT_COUNT from application""",
+        "bureau": """select *, AMT_CREDIT_SUM_DEBT/nullif(AMT_CREDIT_SUM,0) as DEBT_CREDIT_RATIO, AMT_CREDIT_SUM_OVERDUE/nullif(AMT_CREDIT_SUM_DEBT,0) as OVERDUE_DEBT_RATIO,
+            SK_ID_BUREAU in (select SK_ID_BUREAU from bureau_balance) as HAS_BUREAU_BALANCE from bureau""",
+        "prev": "select *, AMT_APPLICATION/nullif(AMT_CREDIT,0) as APP_CREDIT_RATIO, AMT_CREDIT/nullif(AMT_GOODS_PRICE,0) as CREDIT_GOODS_RATIO, AMT_ANNUITY/nullif(AMT_CREDIT,0) as ANNUITY_CREDIT_RATIO from previous_application",
+        "installment": INSTALLMENT_SQL,
+        "pos": "select * from pos_cash_balance",
+        "cc": "select *, AMT_BALANCE/nullif(AMT_CREDIT_LIMIT_ACTUAL,0) as UTILIZATION, AMT_PAYMENT_CURRENT/nullif(AMT_INST_MIN_REGULARITY,0) as PAYMENT_MIN_RATIO from credit_card_balance",
+    }.items()))
 def node_tables(t):
-    return G.node_counts(nodes_of(t, t.assignment.filter("split = 'val'")))
+    """Rows of every node type and the totals of their derived columns."""
+    return row_sums(nodes_of(t, t.assignment.filter("split = 'val'")), derived=DERIVED)
 
 
 @query("g02_bureau_reach", """
@@ -72,10 +113,10 @@ def orphan_report_by_client(t):
     return rounded(G.orphan_report(G.add_client(plain_nodes(t), t.assignment), ["client"]))
 
 
-@query("g05_drop_mismatch", f"select node_type, count(*) as rows from ({LOOKED}) x where owner is null or owner = SK_ID_CURR group by node_type")
+@query("g05_drop_mismatch", f"select node_type, count(*) as rows, {sums_sql()} from ({LOOKED}) x where owner is null or owner = SK_ID_CURR group by node_type")
 def drop_mismatch(t):
     fixed = G.resolve_orphans(plain_nodes(t))
-    return G.node_counts({k: fixed[k] for k in G.EVENTS}).withColumnRenamed("nodes", "rows")
+    return row_sums({k: fixed[k] for k in G.EVENTS}, counted="rows")
 
 
 PLACEHOLDER_SQL = f"""select SK_ID_PREV, SK_ID_CURR, max(cast(node_type = 'installment' as bigint)) as PH_FROM_INSTALLMENT, max(cast(node_type = 'pos' as bigint)) as PH_FROM_POS,
@@ -99,10 +140,10 @@ def repaired_loans(t):
     ))
 
 
-@query("g07_drop_orphans", f"select node_type, count(*) as rows from ({LOOKED}) x where owner = SK_ID_CURR group by node_type")
+@query("g07_drop_orphans", f"select node_type, count(*) as rows, {sums_sql()} from ({LOOKED}) x where owner = SK_ID_CURR group by node_type")
 def drop_orphans(t):
     fixed = G.resolve_orphans(plain_nodes(t), "drop")
-    return G.node_counts({k: fixed[k] for k in G.EVENTS}).withColumnRenamed("nodes", "rows")
+    return row_sums({k: fixed[k] for k in G.EVENTS}, counted="rows")
 
 
 KEPT = f"(select node_type, SK_ID_PREV, SK_ID_CURR from ({LOOKED}) x where owner is null or owner = SK_ID_CURR)"
@@ -126,21 +167,31 @@ def coverage_by_status(t):
 LOANS = f"(select SK_ID_PREV, SK_ID_CURR, 0 as ph from previous_application union all select SK_ID_PREV, SK_ID_CURR, 1 from ({PLACEHOLDER_SQL}) p)"
 
 
-@query("g09_structural_customer", f"""
-select a.SK_ID_CURR, {sql_rnd('ln(1e0+coalesce(b.n,0))')} as N_BUREAU, cast(coalesce(b.n,0) > 0 as bigint) as HAS_BUREAU, {sql_rnd('ln(1e0+coalesce(p.n,0))')} as N_PREV, cast(coalesce(p.n,0) > 0 as bigint) as HAS_PREV,
- {sql_rnd('ln(1e0+coalesce(p.ph,0))')} as N_PREV_PLACEHOLDER from application a left join (select SK_ID_CURR, count(*) as n from bureau group by 1) b using (SK_ID_CURR)
- left join (select SK_ID_CURR, count(*) as n, sum(ph) as ph from {LOANS} l group by 1) p using (SK_ID_CURR)""")
+def structure_sql(kind, fmt=sql_rnd):
+    if kind == G.CUSTOMER:
+        return f"""
+select a.SK_ID_CURR, {fmt('ln(1e0+coalesce(b.n,0))')} as N_BUREAU, cast(coalesce(b.n,0) > 0 as bigint) as HAS_BUREAU, {fmt('ln(1e0+coalesce(p.n,0))')} as N_PREV, cast(coalesce(p.n,0) > 0 as bigint) as HAS_PREV,
+ {fmt('ln(1e0+coalesce(p.ph,0))')} as N_PREV_PLACEHOLDER from application a left join (select SK_ID_CURR, count(*) as n from bureau group by 1) b using (SK_ID_CURR)
+ left join (select SK_ID_CURR, count(*) as n, sum(ph) as ph from {LOANS} l group by 1) p using (SK_ID_CURR)"""
+    columns = ", ".join(f"{fmt(f'ln(1e0+coalesce({k}.n,0))')} as N_{k.upper()}, cast(coalesce({k}.n,0) > 0 as bigint) as HAS_{k.upper()}" for k in EVENT_TABLES)
+    counts = " ".join(f"left join (select SK_ID_PREV, SK_ID_CURR, count(*) as n from {KEPT} k where node_type = '{k}' group by 1,2) {k} on {k}.SK_ID_PREV = l.SK_ID_PREV and {k}.SK_ID_CURR = l.SK_ID_CURR" for k in EVENT_TABLES)
+    return f"""
+select l.SK_ID_PREV, l.SK_ID_CURR, {columns} from {LOANS} l {counts}"""
+
+
+STRUCTURE = {G.CUSTOMER: ["N_BUREAU", "HAS_BUREAU", "N_PREV", "HAS_PREV", "N_PREV_PLACEHOLDER"], G.PREV: [f"{p}_{k.upper()}" for k in EVENT_TABLES for p in ("N", "HAS")]}
+
+
+@query("g09_structural_customer", structure_sql(G.CUSTOMER))
 def structural_customer(t):
     out = G.add_structural_features(G.resolve_orphans(plain_nodes(t)))[G.CUSTOMER]
-    return rounded(out.select("SK_ID_CURR", "N_BUREAU", "HAS_BUREAU", "N_PREV", "HAS_PREV", "N_PREV_PLACEHOLDER"))
+    return rounded(out.select("SK_ID_CURR", *STRUCTURE[G.CUSTOMER]))
 
 
-@query("g09_structural_loan", f"""
-select l.SK_ID_PREV, l.SK_ID_CURR, """ + ", ".join(f"{sql_rnd(f'ln(1e0+coalesce({k}.n,0))')} as N_{k.upper()}, cast(coalesce({k}.n,0) > 0 as bigint) as HAS_{k.upper()}" for k in EVENT_TABLES)
-       + f" from {LOANS} l " + " ".join(f"left join (select SK_ID_PREV, SK_ID_CURR, count(*) as n from {KEPT} k where node_type = '{k}' group by 1,2) {k} on {k}.SK_ID_PREV = l.SK_ID_PREV and {k}.SK_ID_CURR = l.SK_ID_CURR" for k in EVENT_TABLES))
+@query("g09_structural_loan", structure_sql(G.PREV))
 def structural_loan(t):
     out = G.add_structural_features(G.resolve_orphans(plain_nodes(t)))[G.PREV]
-    return rounded(out.select("SK_ID_PREV", "SK_ID_CURR", *[f"{p}_{k.upper()}" for k in EVENT_TABLES for p in ("N", "HAS")]))
+    return rounded(out.select("SK_ID_PREV", "SK_ID_CURR", *STRUCTURE[G.PREV]))
 
 
 @query("g10_root_customer", f"select node_type, SK_ID_CURR as root_id, count(*) as nodes from {KEPT} k group by 1, 2")
@@ -181,11 +232,11 @@ def validate(t):
 
 @query("g13_subgraph", f"""
 with c as (select SK_ID_CURR from assignment where client = 3)
-select 'customer' as node_type, count(*) as nodes from c union all select 'bureau', count(*) from bureau where SK_ID_CURR in (select * from c)
-union all select 'prev', count(*) from {LOANS} l where SK_ID_CURR in (select * from c) union all select node_type, count(*) from {KEPT} k where SK_ID_CURR in (select * from c) group by node_type""")
+select 'customer' as node_type, count(*) as nodes, {sums_sql('SK_ID_CURR')} from c union all select 'bureau', count(*), {sums_sql('SK_ID_BUREAU')} from bureau where SK_ID_CURR in (select * from c)
+union all select 'prev', count(*), {sums_sql()} from {LOANS} l where SK_ID_CURR in (select * from c) union all select node_type, count(*), {sums_sql()} from {KEPT} k where SK_ID_CURR in (select * from c) group by node_type""")
 def subgraph(t):
     nodes = G.resolve_orphans(plain_nodes(t))
-    return G.node_counts(G.subgraph(nodes, t.assignment.filter("client = 3")))
+    return row_sums(G.subgraph(nodes, t.assignment.filter("client = 3")))
 
 
 @query("g14_batches", f"select SK_ID_CURR, cast(floor((row_number() over (order by {sql_u('batch42', 'SK_ID_CURR')}, SK_ID_CURR) - 1)/128e0) as bigint) as batch_id from application")
@@ -194,11 +245,11 @@ def batches(t):
 
 
 @query("g15_split_by_client", f"""
-select cast(a.client as bigint) as client, node_type, count(*) as nodes from (
- select 'customer' as node_type, SK_ID_CURR from application union all select 'bureau', SK_ID_CURR from bureau union all select 'prev', SK_ID_CURR from previous_application
- union all select node_type, SK_ID_CURR from ({LOOKED}) x) n join assignment a using (SK_ID_CURR) group by 1, 2""")
+select cast(a.client as bigint) as client, node_type, count(*) as nodes, {sums_sql('own')} from (
+ select 'customer' as node_type, SK_ID_CURR, SK_ID_CURR as own from application union all select 'bureau', SK_ID_CURR, SK_ID_BUREAU from bureau union all select 'prev', SK_ID_CURR, SK_ID_PREV from previous_application
+ union all select node_type, SK_ID_CURR, SK_ID_PREV from ({LOOKED}) x) n join assignment a using (SK_ID_CURR) group by 1, 2""")
 def split_by_client(t):
-    return rounded(G.node_counts(G.add_client(plain_nodes(t), t.assignment), ["client"]))
+    return row_sums(G.add_client(plain_nodes(t), t.assignment), ["client"])
 
 
 @query("g16_node_report")
@@ -211,16 +262,14 @@ def node_report(t):
 
 
 @query("g17_prepared_forest", f"""
-select 'customer' as node_type, count(*) as nodes, count(distinct SK_ID_CURR) as roots from application
-union all select 'bureau', count(*), count(distinct SK_ID_CURR) from bureau union all select 'prev', count(*), count(distinct SK_ID_CURR) from {LOANS} l
-union all select node_type, count(*), count(distinct SK_ID_CURR) from {KEPT} k group by node_type""")
+select 'customer' as node_type, count(*) as nodes, {sums_sql('SK_ID_CURR')}, {sql_rnd(total_of(STRUCTURE[G.CUSTOMER]), 2)} as derived_sum from ({structure_sql(G.CUSTOMER, str)}) x
+union all select 'bureau', count(*), {sums_sql('SK_ID_BUREAU')}, 0e0 from bureau
+union all select 'prev', count(*), {sums_sql()}, {sql_rnd(total_of(STRUCTURE[G.PREV]), 2)} from ({structure_sql(G.PREV, str)}) x
+union all select node_type, count(*), {sums_sql()}, 0e0 from {KEPT} k group by node_type""")
 def prepared_forest(t):
+    """Rows by root, and the totals of the structural features."""
     nodes, _, _ = G.prepare_forest(nodes_of(t))
-    out = None
-    for k, df in nodes.items():
-        part = df.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("root_id").alias("roots")).select(F.lit(k).alias("node_type"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return row_sums({k: df.withColumn("SK_ID_CURR", F.col("root_id")) for k, df in nodes.items()}, derived={k: STRUCTURE.get(k, []) for k in nodes})
 
 
 def propagation_sql() -> str:

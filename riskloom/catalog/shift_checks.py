@@ -182,7 +182,10 @@ def hybrid_seed_summary(t):
     return rounded(over_seeds(delta, ["client"], "delta"), 5)
 
 
-@query("h03_seed_cells")
+SEED_LONG = " union all ".join(f"select seed, client, TARGET, '{m}' as method, {m} as prob from seed_scores where split = 'test'" for m in ["fedavg", "local", "hgnn"])
+
+
+@query("h03_seed_cells", f"""select method, cast(client as bigint) as client, printf('%.4f ± %.4f', avg(roc_auc), coalesce(stddev_samp(roc_auc), 0e0)) as cell from {auc_sql('seed, method, client', f'({SEED_LONG})')} a group by method, client""")
 def seed_cells(t):
     long = P.to_long(t.seed_scores.filter("split = 'test'").withColumnsRenamed({m: f"prob_{m}" for m in ["fedavg", "local", "hgnn"]}), ["seed", *P.KEYS])
     per = over_seeds(M.auc(long, ["seed", "method", "client"]), ["method", "client"], "roc_auc")
