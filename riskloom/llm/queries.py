@@ -71,7 +71,7 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat_ws("/", block, F.floor(id_ / 50).cast("string"), F.concat(F.lit("f"), id_.cast("string"), F.lit(".txt"))))
     )
     files = read(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
-    own = materialise(license_scan.scan(files), "own_licences")
+    own = materialise(license_scan.scan(files, license_scan.FORMS, window=license_scan.WINDOW), "own_licences")
     got = license_scan.inherit(files.select("doc_id", "path"), own)
     return got.select("doc_id", "path", "license", F.round("score", 6).alias("score"), "inherited_license", "inherited_from")
 

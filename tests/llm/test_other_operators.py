@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,40 @@ def test_licence_scores_equal_a_plain_computation(spark):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
 
 
+LICENCE_LINES = {
+    "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+}
+
+
+def test_every_licence_wording_of_the_table_is_found(spark):
+    folder = "/root/testdata/sf0.1"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r.doc_id: r.license for r in q.op8_license_scan(spark, folder).collect()}
+    seen = collections.Counter()
+    for doc_id, text in texts.items():
+        lines = [x for x in text.split("\n") if re.search(r"(?i)licen[cs]e|rights reserved", x)]
+        assert all(x in LICENCE_LINES for x in lines)
+        names = {LICENCE_LINES[x] for x in lines}
+        assert found[doc_id] in (names - {"Proprietary"} or names) if names else found[doc_id] is None
+        seen.update(lines)
+    assert seen.keys() == LICENCE_LINES.keys() and sum(seen.values()) == 328
+
+
+def test_licence_texts_over_several_lines_and_bare_reservations(spark):
+    reserved = "Copyright (c) 2021 Somebody Inc. All rights reserved."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    clause = "3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software"
+    rows = [
+        ("mit", mit), ("bsd2", f"{reserved}\n\n{bsd}"), ("bsd3", f"{reserved}\n\n{bsd}{clause}"), ("own", f"words\n{reserved}\nwords"), ("bare", "All rights reserved."),
+        ("sa", "Licensed under CC BY-SA 3.0."), ("none", "all of the rights that the people have\nreserved seats"), ("both", "All rights reserved.\nReleased under the MIT License."),
+    ]
+    files = prepare(spark).createDataFrame([*rows, *((f"x{i}", "plain words of the text\nand others in it") for i in range(50))], "path string, text string")
+    got = {r.path: r.license for r in license_scan.scan(files, license_scan.FORMS, window=license_scan.WINDOW).collect()}
+    assert got == {"mit": "MIT", "bsd2": "BSD-2-Clause", "bsd3": "BSD-3-Clause", "own": "Proprietary", "bare": "Proprietary", "sa": "CC-BY-SA-3.0", "both": "MIT"}
+
+
 def test_inheritance_equals_a_walk_up_the_tree(spark):
     rows = q.op8_license_scan(spark, "/root/testdata/sf0.01").collect()
     speaking = collections.defaultdict(list)
