@@ -9,10 +9,11 @@ back one order at a time. It goes to the language of lowest cross-entropy per ch
 Size: all n-grams are kept up to ``max_ngrams`` (language, n-gram) pairs; beyond that the smallest count that fits is
 required, found from the histogram of counts. So what is broadcast has a bound of some 100 MB.
 
-Rejection: a tenth of the learning texts is not counted but calibrates. With the mean m of the cross-entropy of a
-language's calibrating texts, a text of n characters has z = (ce - m) * sqrt(n), whose spread does not depend on n. One
-whose z exceeds ``slack`` times the largest z of all calibrating texts (at least ``least``) is rejected, as are texts
-without any letter (``und``).
+Rejection: a tenth of the learning texts is not counted but calibrates. Per language and length class (powers of four
+letters) the limit is the ``quantile`` of the cross-entropy of the calibrating texts, or of all those of the language where
+the class has none. A text of n letters is rejected if it lies above its limit by more than ``spread`` bits, by which
+documents may differ at any length, and ``least / sqrt(n)`` bits, by which short ones vary. So few calibrating texts do not
+make false rejections, and a single odd one moves only its own class. Texts without any letter (``und``) are rejected too.
 
 Defined results: null or letterless text gives ``und``, score 0, rejected; ties go to the first language by name; without
 learning rows all texts are ``und``; repeated rows are scored each; extra columns pass through unread.
@@ -32,7 +33,8 @@ from riskloom.llm.common import bounded, materialise, slices, text_array
 
 ORDER = 4
 MAX_NGRAMS = 2_000_000
-SLACK = 2.0
+QUANTILE = 0.995
+SPREAD = 0.5
 LEAST_Z = 20.0
 BREAK = 1
 _codes: list[np.ndarray] = []
@@ -244,14 +246,15 @@ def calibrates(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("calibrate"), doc_id), F.lit(10)) == 0
 
 
-def reject(scored: DataFrame, calibrate: Column, slack: float = SLACK, least: float = LEAST_Z) -> DataFrame:
+def reject(scored: DataFrame, calibrate: Column, quantile: float = QUANTILE, spread: float = SPREAD, least: float = LEAST_Z) -> DataFrame:
     """Add ``rejected``. ``calibrate`` is true for rows that were not counted and have their language in column ``lang``."""
     n = F.greatest(F.col("n_letters"), F.lit(1))
-    good = scored.where(calibrate & (F.col("lang") == F.col("lang_pred")))
-    means = {r["lang_pred"]: r["m"] for r in good.groupBy("lang_pred").agg((F.sum(F.col("cross_entropy") * n) / F.sum(n)).alias("m")).collect()}  # a row per language
-    if not means:
-        return scored.withColumn("rejected", F.col("lang_pred") == "und")
-    mean = F.create_map(*[x for k, v in means.items() for x in (F.lit(k), F.lit(v))])
-    z = (F.col("cross_entropy") - F.try_element_at(mean, F.col("lang_pred"))) * F.sqrt(n)
-    limit = max(least, slack * (good.agg(F.max(z)).first()[0] or 0.0))
-    return scored.withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(z > limit, F.lit(False)))
+    length = F.floor(F.log2(n) / 2)
+    good = scored.where(calibrate & (F.col("lang") == F.col("lang_pred"))).select(F.col("lang_pred").alias("_lang"), length.alias("_length"), "cross_entropy")
+    high = F.percentile_approx("cross_entropy", quantile, 10_000)
+    # a row per language and length class at most, and a row per language
+    limits = good.groupBy("_lang", "_length").agg(high.alias("_limit"))
+    whole = good.groupBy(F.col("_lang").alias("_any")).agg(high.alias("_whole"))
+    with_limits = scored.join(F.broadcast(limits), (F.col("lang_pred") == F.col("_lang")) & (length == F.col("_length")), "left").join(F.broadcast(whole), F.col("lang_pred") == F.col("_any"), "left")
+    above = F.col("cross_entropy") > F.coalesce("_limit", "_whole") + spread + least / F.sqrt(n)
+    return with_limits.withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(above, F.lit(False))).drop("_lang", "_length", "_limit", "_any", "_whole")

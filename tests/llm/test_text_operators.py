@@ -131,6 +131,27 @@ def test_language_of_awkward_rows(spark, docs):
     assert langid.predict(empty(spark, "documents"), model).count() == 0
 
 
+def test_unlearnt_languages_are_rejected_beside_very_long_texts(spark):
+    """Letters of the unlearnt texts are known, their sequences are not; clean texts are up to 200,000 letters long."""
+    draw = random.Random(7)
+    stems = {x: ["".join(draw.choices(a, k=2)) for _ in range(12)] for x, a in (("a", "abcdefghijklm"), ("b", "klmnopqrstuvwxyz"))}
+    foreign = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=2)) for _ in range(300)]
+    text = lambda s, n: " ".join("".join(draw.choices(s, k=3)) for _ in range(n // 7))
+
+    def own(x, n, i):  # long documents differ from each other, as some have words that others lack
+        return text([*stems[x], *draw.choices(foreign, k=1 + i % 2)], n)
+
+    rows = [(i, x, own(x, 200_000 if i % 25 == 0 else 400 + 40 * (i % 50), i)) for x in "ab" for i in range(1000 * (x == "b"), 1000 * (x == "b") + 300)]
+    rows += [(5000 + i, None, text(foreign, n)) for i, n in enumerate([400, 600, 1000, 3000, 20_000, 100_000] * 3)]
+    frame = prepare(spark).createDataFrame(rows, "doc_id bigint, lang string, text string")
+    calibrates = F.col("lang").isNotNull() & (F.col("doc_id") % 5 == 0)
+    model = langid.fit(frame.where(F.col("lang").isNotNull() & ~calibrates))
+    out = langid.reject(langid.predict(frame, model).drop("text"), calibrates).collect()
+    assert len(out) == len(rows)
+    assert all(r.rejected for r in out if r.lang is None)
+    assert sum(r.rejected for r in out if r.lang) <= 1
+
+
 # ------------------------------------------------------------------------------------------------------- toxicity
 def test_toxicity_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
