@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, license_scan, shards, toxicity, warc
+from riskloom.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, license_scan, manifest, shards, toxicity, warc
 from riskloom.llm.common import materialise, read
 
 RUNS = dict[str, Callable[[SparkSession, str], DataFrame]]
@@ -92,6 +92,19 @@ def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    text = F.col("text")
+    leaf = lambda t: manifest.digest(*(manifest.field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), t)))
+    tampered = F.when(remainder(5) == 0, leaf(manifest.lower_ascii(text))).otherwise(F.col("leaf"))
+    leaves = documents.select("doc_id", "source", "lang", "n_chars", "text", leaf(text).alias("leaf")).select("doc_id", "source", "leaf", tampered.alias("tampered"))
+    got = manifest.prove(leaves, "source", "doc_id", "leaf")
+    folded = manifest.fold(F.col("row.tampered"), F.col("places"), F.col("siblings"))
+    proof = F.sha2(F.array_join("siblings", "").cast("binary"), 256)
+    out = got.select("row.doc_id", "row.leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +113,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: RUNS = {
     f.__name__: f
-    for f in (op1_decontamination, op2_language_id, op3_toxicity, op4_warc, op5_fingerprints, op6_jaccard_join, op7_chat_perspectives, op8_license_scan, op9_byte_bpe, op10_byte_shards, pipeline)
+    for f in (op1_decontamination, op2_language_id, op3_toxicity, op4_warc, op5_fingerprints, op6_jaccard_join, op7_chat_perspectives, op8_license_scan, op9_byte_bpe, op10_byte_shards, op12_merkle_manifest, pipeline)
 }
 ORACLES: dict[str, str] = {}
