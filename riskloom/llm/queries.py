@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, license_scan, manifest, shards, toxicity, warc
+from riskloom.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, license_scan, manifest, runs, shards, toxicity, warc
 from riskloom.llm.common import materialise, read
 
 RUNS = dict[str, Callable[[SparkSession, str], DataFrame]]
@@ -92,6 +92,37 @@ def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def repeating(doc_id: F.Column, text: F.Column) -> F.Column:
+    """The text; where 10 divides its id's checksum, with the words from some place on repeating with some period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def planted(w: F.Column) -> F.Column:
+        n = F.size(w).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        source = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(w, (source(i) + 1).cast("int"))), " ")).otherwise("")
+
+    # a lambda's variable is evaluated once, a column repeated in an expression may not be
+    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda x: x != "")
+    return F.when((h % 10 == 0) & text.isNotNull(), F.transform(F.array(words), planted)[0]).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", repeating(F.col("doc_id"), F.col("text")).alias("text"))
+    got = runs.detect(documents)
+    ahead = lambda x, y: F.coalesce(x["length"] * y["period"] > y["length"] * x["period"], F.lit(False))
+    # runs are ordered by start and period, so of equal exponents the first stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, x: F.when(ahead(x, best), x).otherwise(best))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    got = got.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    return got.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     text = F.col("text")
@@ -113,6 +144,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: RUNS = {
     f.__name__: f
-    for f in (op1_decontamination, op2_language_id, op3_toxicity, op4_warc, op5_fingerprints, op6_jaccard_join, op7_chat_perspectives, op8_license_scan, op9_byte_bpe, op10_byte_shards, op12_merkle_manifest, pipeline)
+    for f in (op1_decontamination, op2_language_id, op3_toxicity, op4_warc, op5_fingerprints, op6_jaccard_join, op7_chat_perspectives, op8_license_scan, op9_byte_bpe, op10_byte_shards, op11_periodic_runs, op12_merkle_manifest, pipeline)
 }
 ORACLES: dict[str, str] = {}
