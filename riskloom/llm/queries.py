@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, license_scan, manifest, runs, shards, toxicity, warc
+from riskloom.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, license_scan, manifest, repeats, runs, shards, toxicity, warc
 from riskloom.llm.common import materialise, read
 
 RUNS = dict[str, Callable[[SparkSession, str], DataFrame]]
@@ -136,6 +136,12 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    got = repeats.dedup(read(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return got.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -144,6 +150,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: RUNS = {
     f.__name__: f
-    for f in (op1_decontamination, op2_language_id, op3_toxicity, op4_warc, op5_fingerprints, op6_jaccard_join, op7_chat_perspectives, op8_license_scan, op9_byte_bpe, op10_byte_shards, op11_periodic_runs, op12_merkle_manifest, pipeline)
+    for f in (op1_decontamination, op2_language_id, op3_toxicity, op4_warc, op5_fingerprints, op6_jaccard_join, op7_chat_perspectives, op8_license_scan, op9_byte_bpe, op10_byte_shards, op11_periodic_runs, op12_merkle_manifest, op13_repeated_bytes, pipeline)
 }
 ORACLES: dict[str, str] = {}
