@@ -9,8 +9,9 @@ segments; only their bytes are fetched.
 
 Anchors are dealt to shards, the bytes of a shard are laid out one segment after another, and their suffix array is built
 by induced sorting: suffixes are classed, the leftmost smaller ones' substrings sorted by one round of induction and
-named, the string of names sorted recursively unless all differ, and the array induced from their order. The rounds over
-bytes go bucket by bucket on whole arrays, those over names one by one. Permuted common prefixes follow from the places
+named, the string of names sorted recursively unless all differ, and the array induced from their order. Rounds of
+induction go bucket by bucket on whole arrays. A string of too many names for that (the usual case after one round) is
+sorted by doubling prefixes instead of another round: one by one, induction took most of the time. Permuted common prefixes follow from the places
 where the preceding bytes differ; a window is repeated if it shares ``LENGTH`` bytes with a neighbour in the array.
 
 An anchor of more than ``HOT_SEGMENTS`` different segments is not put into one shard: digests of its windows are counted
@@ -39,7 +40,7 @@ ANCHOR = 64
 SLICE_BYTES = 1 << 20
 #: Bytes laid out for one suffix array, but always whole anchors.
 SHARD_BYTES = 1 << 20
-HOT_SEGMENTS = 2048
+HOT_SEGMENTS = 8000
 #: Symbols of a laid out shard: the end, a separator, and the bytes.
 END, SEPARATOR, FIRST_BYTE = 0, 1, 2
 
@@ -136,7 +137,7 @@ def induce_by_bucket(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sym
     n = len(text)
     ends = np.cumsum(np.bincount(text, minlength=symbols))
     begins = ends - np.bincount(text, minlength=symbols)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     own = lms[np.argsort(text[lms], kind="stable")]
     cuts = np.searchsorted(text[own], np.arange(symbols + 1))
 
@@ -184,29 +185,24 @@ def induce_by_bucket(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sym
     return out
 
 
-def induce_one_by_one(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
-    """The same for many symbols."""
-    sizes = np.bincount(text, minlength=symbols)
-    ends = np.cumsum(sizes)
-    out = [-1] * len(text)
-    symbol, small = text.tolist(), smaller.tolist()
-    at = ends.tolist()
-    for p in reversed(lms.tolist()):
-        at[symbol[p]] -= 1
-        out[at[symbol[p]]] = p
-    at = (ends - sizes).tolist()
-    for p in out:  # what is put further on is read later
-        if p > 0 and not small[p - 1]:
-            c = symbol[p - 1]
-            out[at[c]] = p - 1
-            at[c] += 1
-    at = ends.tolist()
-    for p in reversed(out):
-        if p > 0 and small[p - 1]:
-            c = symbol[p - 1]
-            at[c] -= 1
-            out[at[c]] = p - 1
-    return np.array(out, np.int64)
+def order_of_names(text: np.ndarray) -> np.ndarray:
+    """The suffix array of many symbols: the compared prefix doubles, and only suffixes still alike are sorted again."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    slots, rank, width = np.arange(n), np.zeros(n, np.int64), 1
+    found = text[order].astype(np.int64)
+    while True:
+        fresh = np.append(True, found[1:] != found[:-1])
+        rank[order[slots]] = np.maximum.accumulate(np.where(fresh, slots, 0))
+        slots = slots[~(fresh & np.append(fresh[1:], True))]
+        if not len(slots):
+            return order
+        mine = order[slots]
+        # the last symbol occurs once, so suffixes that are still alike do not reach it
+        key = rank[mine] * n + rank[mine + width]
+        by = np.argsort(key, kind="stable")
+        order[slots], found = mine[by], key[by]
+        width *= 2
 
 
 def names_of(text: np.ndarray, order: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -232,23 +228,23 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     leftmost = np.zeros(len(text), bool)
     leftmost[1:] = smaller[1:] & ~smaller[:-1]
     lms = np.flatnonzero(leftmost)
-    induce = induce_by_bucket if len(text) >= 16 * symbols else induce_one_by_one
-    order = induce(text, smaller, lms, symbols)
+    order = induce_by_bucket(text, smaller, lms, symbols)
     order = order[leftmost[order]]
     names = names_of(text, order, lms)
     if names[-1] + 1 < len(lms):
-        name = np.zeros(len(text), np.int64)
+        name = np.zeros(len(text), np.int32)
         name[order] = names
-        order = lms[suffix_array(name[lms], int(names[-1]) + 1)]
-    return induce(text, smaller, order, symbols)
+        few = len(lms) >= 16 * (int(names[-1]) + 1)
+        order = lms[suffix_array(name[lms], int(names[-1]) + 1) if few else order_of_names(name[lms])]
+    return induce_by_bucket(text, smaller, order, symbols)
 
 
 def permuted_common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
     """For each position, the symbols it has in common with the suffix before it in the array (0 for the first one)."""
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[array[1:]] = array[:-1]
-    positions = np.arange(n)
+    positions = np.arange(n, dtype=np.int32)
     has = before >= 0
     # where the preceding symbols are equal, the value is one less than that of the position before
     own = ~has | (positions == 0) | (before <= 0) | (text[positions - 1] != text[before - 1])
@@ -256,7 +252,7 @@ def permuted_common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
     padded = np.concatenate([text.astype(np.uint64), np.zeros(4, np.uint64)])
     four = padded[:n] | padded[1 : n + 1] << np.uint64(16) | padded[2 : n + 2] << np.uint64(32) | padded[3 : n + 3] << np.uint64(48)
     at = np.flatnonzero(own & has)
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     going = at
     while len(going):
         common = length[going]
@@ -328,7 +324,9 @@ def marks(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), text_digest(F.col("text")).alias("t"), "text")
     each = materialise(segments(texts, length, anchor), "segments")
     often = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"))
-    places = each.join(often, F.col("key") == F.col("k")).groupBy("key", "seg", "t", "at", "starts").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"))
+    # the texts of a hot anchor are many: dealt by text too, they are no one task's
+    rows = each.join(often, F.col("key") == F.col("k")).drop("k").repartition("key", "seg", "t")
+    places = rows.groupBy("key", "seg", "t", "at", "starts").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"))
     places = materialise(places, "places")
 
     kinds = places.groupBy("key", "seg").agg(F.sum("copies").alias("n"), F.min(F.struct("t", "doc", "at", "starts")).alias("one"))
