@@ -120,6 +120,26 @@ class PooledEncoder:
         return df.selectExpr(*keep, f"array({cells}) as `{out}`")
 
 
+def filled_cells(df: DataFrame, stats: Sequence[NumericStats | SharedNumeric], keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, i, v): every cell clipped and filled, in long form; limits are literal arrays, so the plan does not grow."""
+    known = lambda x: x is not None and abs(x) != S.INF
+    limits = {n: ", ".join(double(v if known(v) else None) for v in (getattr(s, n) for s in stats)) for n in ("low", "high", "median")}
+    cells = ", ".join(f"cast(`{s.name}` as double)" for s in stats)
+    arrays = [f"array({cells}) as _x", *(f"array({v}) as _{n}" for n, v in limits.items())]
+    long = df.selectExpr(*keep, *arrays).selectExpr(*keep, "posexplode(arrays_zip(_x, _low, _high, _median)) as (i, c)")
+    # greatest and least skip a missing limit
+    missing = "c._x is null or isnan(c._x) or abs(c._x) = double('infinity')"
+    return long.selectExpr(*keep, "i", f"if({missing}, c._median, least(greatest(c._x, c._low), c._high)) as v")
+
+
+def filled_moments(df: DataFrame, stats: Sequence[NumericStats]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation per column after clipping and filling, a row per column from one aggregation."""
+    if not stats:
+        return {}
+    rows = filled_cells(df, stats).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
+    return {stats[r["i"]].name: (r["m"], r["s"]) for r in rows}
+
+
 def fit_pooled(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], clip=(0.01, 0.99), min_frequency: float = 0.005, stored: bool = False
 ) -> PooledEncoder:
@@ -130,21 +150,18 @@ def fit_pooled(
     stats: list[NumericStats] = []
     n_rows = 0
     if num:
-        q = {(r["column"], r["prob"]): r["value"] for r in group_quantiles(x, [], num, [clip[0], 0.5, clip[1]]).collect()}
-        counts = x.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(num)]).first()
-        n_rows = counts["n"]
-        for i, c in enumerate(num):
-            stats.append(NumericStats(c, q.get((c, clip[0])), q.get((c, clip[1])), q.get((c, 0.5)), counts[f"c{i}"] < n_rows))
-        live = [s for s in stats if s.median is not None]
-        row = x.agg(*[F.expr(f"{f}({s.filled_sql()}) as {a}{i}") for i, s in enumerate(live) for f, a in (("avg", "m"), ("stddev_pop", "s"))]).first() if live else None
-        moments = {s.name: (row[f"m{i}"], row[f"s{i}"]) for i, s in enumerate(live)}
-        scaled = []
-        for i, s in enumerate(stats):
-            share = 1.0 - counts[f"c{i}"] / n_rows if n_rows else 0.0
+        n_rows = x.count()
+        q: dict[str, dict] = {c: {} for c in num}
+        nonnull = dict.fromkeys(num, 0)
+        for r in group_quantiles(x, [], num, [clip[0], 0.5, clip[1]]).collect():
+            q[r["column"]][r["prob"]], nonnull[r["column"]] = r["value"], r["n"]
+        bare = [NumericStats(c, q[c].get(clip[0]), q[c].get(clip[1]), q[c].get(0.5), nonnull[c] < n_rows) for c in num]
+        moments = filled_moments(x, [s for s in bare if s.median is not None])
+        for s in bare:
+            share = 1.0 - nonnull[s.name] / n_rows if n_rows else 0.0
             m, sd = moments.get(s.name, (0.0, 1.0))
             ind = math.sqrt(share * (1.0 - share))
-            scaled.append(NumericStats(s.name, s.low, s.high, s.median, s.missing, m, sd or 1.0, share, ind or 1.0))
-        stats = scaled
+            stats.append(NumericStats(s.name, s.low, s.high, s.median, s.missing, m, sd or 1.0, share, ind or 1.0))
     cats: list[CategoryStats] = []
     if categorical:
         n_rows = n_rows or x.count()
@@ -187,17 +204,16 @@ def encode_domains(df: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
 # -------------------------------------------------------------------------------------------------- shared encoder
 def round1_numeric(df: DataFrame, client: str, numeric: Sequence[str], clip=(0.01, 0.99)) -> DataFrame:
     """Per client and column: n, non-missing count, quantiles (low, median, high), has_missing. All clients at once."""
-    x = df.selectExpr(client, *[f"{finite_sql(c)} as `{c}`" for c in numeric])
-    per = x.groupBy(client).agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(numeric)])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("nonnull")) for i, c in enumerate(numeric)])
-    counts = per.select(client, "n", F.inline(cells)).withColumn("has_missing", F.col("nonnull") < F.col("n"))
+    x = df.selectExpr(f"`{client}`", *[f"{finite_sql(c)} as `{c}`" for c in numeric])
+    rows = materialise(x.groupBy(client).agg(F.count(F.lit(1)).alias("n_rows")), "client-rows")
     q = group_quantiles(x, [client], numeric, [clip[0], 0.5, clip[1]])
 
     def at(p):
         return F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("value")))
 
-    wide = q.groupBy(client, "column").agg(at(clip[0]).alias("q_low"), at(0.5).alias("q_median"), at(clip[1]).alias("q_high"))
-    return counts.join(wide, [client, "column"], "left")
+    wide = q.groupBy(client, "column").agg(F.max("n").alias("nonnull"), at(clip[0]).alias("q_low"), at(0.5).alias("q_median"), at(clip[1]).alias("q_high"))
+    out = wide.join(rows, client).select(client, F.col("n_rows").alias("n"), "column", "nonnull", "q_low", "q_median", "q_high")
+    return out.select(client, "n", "column", "nonnull", (F.col("nonnull") < F.col("n")).alias("has_missing"), "q_low", "q_median", "q_high")
 
 
 def round1_categories(df: DataFrame, client: str, categorical: Sequence[str]) -> DataFrame:
@@ -274,13 +290,10 @@ class SharedEncoder:
 
 def round2(df: DataFrame, client: str, numeric: Sequence[SharedNumeric]) -> DataFrame:
     """Per client and column: n, sum and sum of squares after clipping and filling."""
-    per = df.groupBy(client).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.expr(f"sum({s.filled_sql()}) as s{i}") for i, s in enumerate(numeric)],
-        *[F.expr(f"sum({s.filled_sql()} * {s.filled_sql()}) as q{i}") for i, s in enumerate(numeric)],
-    )
-    cells = F.array(*[F.struct(F.lit(s.name).alias("column"), F.col(f"s{i}").alias("sum"), F.col(f"q{i}").alias("sumsq")) for i, s in enumerate(numeric)])
-    return per.select(client, "n", F.inline(cells))
+    names = F.array(*[F.lit(s.name) for s in numeric])
+    cells = filled_cells(df, numeric, [f"`{client}`"])
+    per = cells.groupBy(client, "i").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum"), F.sum(F.col("v") * F.col("v")).alias("sumsq"))
+    return per.select(client, "n", F.element_at(names, F.col("i") + 1).alias("column"), "sum", "sumsq")
 
 
 def merge_round2(stats: DataFrame) -> DataFrame:

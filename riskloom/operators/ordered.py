@@ -3,8 +3,8 @@
 * ``prefix_sums``: running sums over an ordered value. Values are cut into many ranges, each range is one window
   partition, and the totals of the lower ranges are added back. Range bounds come from a small deterministic sample, so
   they only affect balance, never results.
-* ``group_quantiles``: exact interpolated quantiles. A mergeable sketch brackets each quantile; only rows inside the
-  bracket are sorted.
+* ``group_quantiles``: exact interpolated quantiles of any number of columns in long form. Stored mergeable sketches
+  bracket each quantile; only values inside the bracket are ranked.
 * ``hashed_rank`` / ``assign_by_cuts``: ranks in a hash order, and rank cuts turned into hash thresholds, so that the
   big table is labelled by comparison; only rows near a cut are shuffled and sorted.
 """
@@ -119,80 +119,88 @@ def sort_children(children: DataFrame, fk: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------------------- quantiles
+#: Items a sketch keeps at its base, and the rank error that its brackets allow for (about twice the likely one).
+SKETCH_ITEMS = 2000
+RANK_ERROR = 0.005
+
+
+def value_sketches(work: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _i, _n, _sketch): a mergeable sketch of every column of the array ``_x``, one row per cell, in long form."""
+    long = work.select(*keys, F.posexplode("_x").alias("_i", "_v")).filter("_v is not null")
+    return long.groupBy(*keys, "_i").agg(F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_double("_v", F.lit(SKETCH_ITEMS)).alias("_sketch"))
+
+
+def _against_brackets(work: DataFrame, cells: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, _i, _v, _j, _low, _high): every value beside its column's brackets. The brackets of a group are one row, which
+    meets the wide rows before these are unfolded."""
+    of_column = cells.groupBy(*keys, "_i").agg(F.collect_list(F.struct("_j", "_low", "_high")).alias("_b"))
+    listed = of_column.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_b"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at("_m", i))
+    per_group = materialise(listed.select(*keys, dense.alias("_b")), "brackets")  # its size is known to the planner
+    both = work.join(per_group, keys).select(*keys, F.posexplode(F.arrays_zip("_x", "_b")).alias("_i", "_c")).filter("_c._x is not null")
+    return both.select(*keys, "_i", F.col("_c._x").alias("_v"), F.inline("_c._b")).toDF(*keys, "_i", "_v", "_j", "_low", "_high")
+
+
 def group_quantiles(
-    df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float], accuracy: int = 20000
+    df: DataFrame, groups: Sequence[str], columns: Sequence[str], probs: Sequence[float], rank_error: float = RANK_ERROR
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles, long form (groups, column, prob, value); NULL ignored, no value -> NULL.
+    """Exact linear-interpolation quantiles, long form (groups, column, prob, value, n); NULL ignored, no value -> NULL
+    and 0. ``n`` counts the non-missing values.
 
-    The sketch's rank error is at most 1/accuracy of the rows and the bracket is twice as wide, so the two ranks a
-    quantile interpolates lie inside the bracket or are its direct neighbours, which are kept too. The number of groups
-    must be modest (institutions, node types): the bracket table has one row per group and is written once, so that both
-    uses below see the same brackets."""
+    The plan has the same size for any number of columns: columns are one array, unfolded to (group, column, value). Stored
+    sketches bracket each quantile; the values below a bracket are counted, those inside counted by value and ranked. The
+    ranks that a quantile interpolates lie inside the bracket or are its direct neighbours, which are kept; a cell of which
+    that turns out false (a sketch may err more) is done again over all its values, so the result is exact for any sketch."""
     groups, columns, probs = list(groups), list(columns), [float(p) for p in probs]
     keys = groups or ["_all"]
     named = [f"`{g}`" for g in groups] or ["0 as _all"]
-    work = df.selectExpr(*named, *[f"cast(`{c}` as double) as _x{i}" for i, c in enumerate(columns)])
+    cells_sql = ", ".join(f"cast(`{c}` as double)" for c in columns)
+    work = df.selectExpr(*named, f"array({cells_sql}) as _x")
     for g in groups:
         work = work.filter(F.col(g).isNotNull())
-    eps = 2.0 / accuracy
-    edges = ", ".join(f"{max(0.0, min(1.0, p + d))!r}d" for p in probs for d in (-eps, eps))
-    cols = range(len(columns))
-    brackets = materialise(
-        work.groupBy(*keys).agg(
-            *[F.expr(f"percentile_approx(_x{i}, array({edges}), {accuracy}) as _b{i}") for i in cols],
-            *[F.expr(f"count(_x{i}) as _n{i}") for i in cols],
-        ),
-        "quantile-brackets",
-    )
-    if groups:
-        row = work.join(brackets, keys)
-    else:
-        only = brackets.select(F.struct(*[c for c in brackets.columns if c != "_all"])).scalar()
-        row = work.withColumn("_only", only).select(*work.columns, "_only.*")
-    cells = [(i, j) for i in cols for j in range(len(probs))]
-
-    def low(i, j):
-        return f"_b{i}[{2 * j}]"
-
-    def high(i, j):
-        return f"_b{i}[{2 * j + 1}]"
-
-    below = row.groupBy(*keys).agg(
-        *[F.expr(f"count_if(_x{i} < {low(i, j)}) as _l{i}_{j}") for i, j in cells],
-        *[F.expr(f"max(if(_x{i} < {low(i, j)}, _x{i}, null)) as _p{i}_{j}") for i, j in cells],
-        *[F.expr(f"min(if(_x{i} > {high(i, j)}, _x{i}, null)) as _q{i}_{j}") for i, j in cells],
-        *[F.expr(f"max(_n{i}) as _m{i}") for i in cols],
-    )
-    facts = ", ".join(f"struct({i} as _i, {j} as _j, _l{i}_{j} as _below, _p{i}_{j} as _prev, _q{i}_{j} as _next, _m{i} as _n, {probs[j]!r}d as prob)" for i, j in cells)
-    below = below.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({facts}))")
-    hits = ", ".join(f"if(_x{i} between {low(i, j)} and {high(i, j)}, struct({i} as _i, {j} as _j, _x{i} as _v), null)" for i, j in cells)
-    inside = row.selectExpr(*[f"`{k}`" for k in keys], f"inline(array_compact(array({hits})))")
-    inside = inside.groupBy(*keys, "_i", "_j", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    edges = ", ".join(f"{max(0.0, min(1.0, p + d))!r}d" for p in probs for d in (-rank_error, rank_error))
+    facts = ", ".join(f"struct({j} as _j, {p!r}d as prob, _q[{2 * j}] as _low, _q[{2 * j + 1}] as _high)" for j, p in enumerate(probs))
+    sketches = value_sketches(work, keys).selectExpr(*[f"`{k}`" for k in keys], "_i", "_n", f"kll_sketch_get_quantile_double(_sketch, array({edges})) as _q")
+    # written, so that both passes below see the same brackets
+    cells = materialise(sketches.selectExpr(*[f"`{k}`" for k in keys], "_i", "_n", f"inline(array({facts}))"), "quantile-cells")
     cell = [*keys, "_i", "_j"]
-    upto = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("_upto", F.sum("_c").over(upto)).join(below, cell)
     h = F.col("prob") * (F.col("_n") - 1)
-    last = F.col("_below") + F.col("_upto") - 1
-    first = last - F.col("_c") + 1
-    picked = ranked.groupBy(*cell).agg(
-        F.max(F.when((first <= F.floor(h)) & (F.floor(h) <= last), F.col("_v"))).alias("_lo"),
-        F.max(F.when((first <= F.ceil(h)) & (F.ceil(h) <= last), F.col("_v"))).alias("_hi"),
-    )
 
-    def at_rank(rank: Column, hit: str) -> Column:
-        return F.coalesce(hit, F.when(rank < F.col("_below"), F.col("_prev")).otherwise(F.col("_next")))
+    def passes(cells: DataFrame) -> DataFrame:
+        beside = _against_brackets(work, cells, keys, len(columns))
+        v, low, high = F.col("_v"), F.col("_low"), F.col("_high")
+        within = v.between(low, high)
+        around = beside.groupBy(*cell).agg(
+            F.count_if(v < low).alias("_below"), F.count_if(within).alias("_within"), F.max(F.when(v < low, v)).alias("_prev"), F.min(F.when(v > high, v)).alias("_next")
+        )
+        values = beside.filter(within).groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        upto = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = values.withColumn("_upto", F.sum("_c").over(upto)).join(around, cell).join(cells.select(*cell, "prob", "_n"), cell)
+        last = F.col("_below") + F.col("_upto") - 1
+        first = last - F.col("_c") + 1
+        picked = ranked.groupBy(*cell).agg(
+            F.max(F.when((first <= F.floor(h)) & (F.floor(h) <= last), v)).alias("_lo"),
+            F.max(F.when((first <= F.ceil(h)) & (F.ceil(h) <= last), v)).alias("_hi"),
+        )
+        known = cells.join(around, cell).join(picked, cell, "left")
+
+        def at_rank(rank: Column, hit: str) -> Column:
+            return F.coalesce(hit, F.when(rank < F.col("_below"), F.col("_prev")).otherwise(F.col("_next")))
 
+        held = (F.floor(h) >= F.col("_below") - 1) & (F.ceil(h) <= F.col("_below") + F.col("_within"))
+        low_value, high_value = at_rank(F.floor(h), "_lo"), at_rank(F.ceil(h), "_hi")
+        value = low_value + (high_value - low_value) * (h - F.floor(h))
+        return materialise(known.select(*cell, "prob", "_n", value.alias("value"), held.alias("_held")), "quantiles")
+
+    found = passes(cells)
+    if not found.filter("not _held").isEmpty():
+        everything = {"_low": F.lit(float("-inf")), "_high": F.lit(float("inf"))}
+        again = cells.join(found.filter("not _held").select(*cell), cell, "left_semi").withColumns(everything)
+        found = found.filter("_held").unionByName(passes(again))
     names = F.array(*[F.lit(c) for c in columns])
-    return (
-        below.join(picked, cell, "left")
-        .withColumns({"_frac": h - F.floor(h), "_lo": at_rank(F.floor(h), "_lo"), "_hi": at_rank(F.ceil(h), "_hi")})
-        .select(
-            *groups,
-            F.element_at(names, F.col("_i") + 1).alias("column"),
-            "prob",
-            (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"),
-        )
-    )
+    asked = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(p).alias("prob")) for j, p in enumerate(probs)])
+    every = work.select(*keys).distinct().select(*keys, F.posexplode(names).alias("_i", "column"), asked.alias("_a")).select(*keys, "_i", "column", F.inline("_a"))
+    return every.join(found.select(*cell, "value", "_n"), cell, "left").select(*groups, "column", "prob", "value", F.coalesce("_n", F.lit(0)).alias("n"))
 
 
 # ----------------------------------------------------------------------------------------------------- hash-order rank
