@@ -6,6 +6,7 @@ from riskloom.catalog.projections import INSTALLMENT_SQL
 from riskloom.catalog.registry import query, rounded, sql_rnd
 from riskloom.functions.scalar import clean_name
 from riskloom.operators import summaries as M
+from riskloom.operators.encoding import unpivot
 from riskloom.operators.ordered import group_quantiles
 from riskloom.operators.rollup import Rollup, vocabularies
 from riskloom.plans import credit as C
@@ -211,6 +212,28 @@ def model_features(t):
     return C.model_features(t.loan_tables)
 
 
+APPLICATION_NUMBERS = """select SK_ID_CURR, TARGET, coalesce(DAYS_EMPLOYED = 365243, false) as DAYS_EMPLOYED_ANOM, AMT_CREDIT/nullif(AMT_INCOME_TOTAL,0) as CREDIT_INCOME_RATIO,
+  AMT_INCOME_TOTAL/nullif(CNT_FAM_MEMBERS,0) as INCOME_PER_PERSON from application"""
+ROLLED = [
+    (BUREAU_ITEMS, bureau_source()), (PREV_ITEMS, PREV_DERIVED), ([*sql_items("INSTAL", C.INSTALLMENT_SPEC), ("INSTAL_COUNT", "count(*)", True)], f"({INSTALLMENT_SQL}) x"),
+    (POS_ITEMS, "pos_cash_balance"), (CARD_ITEMS, CARD_SOURCE),
+]
+
+
+@query("a11_model_columns", f"""
+with wide as (select a.* exclude (SK_ID_CURR), {', '.join(f'r{i}.* exclude (SK_ID_CURR)' for i in range(len(ROLLED)))} from ({APPLICATION_NUMBERS}) a
+ {' '.join(f"left join ({sql_select(items, 'SK_ID_CURR', source, rounding=False)}) r{i} using (SK_ID_CURR)" for i, (items, source) in enumerate(ROLLED))}),
+cells as (unpivot (select cast(columns(*) as double) from wide) on columns(*) into name column_name value v)
+select column_name, count(*) as non_null, count(*) filter (where v > 0) as positive from cells group by column_name having min(v) < max(v) or column_name = 'TARGET'""")
+def model_columns(t):
+    """Which numbers of the feature table vary, and how many of their cells are filled and positive."""
+    df = C.model_features(t.loan_tables)
+    app = ["TARGET", "DAYS_EMPLOYED_ANOM", "CREDIT_INCOME_RATIO", "INCOME_PER_PERSON"]
+    names = [c for c in df.columns if c in app or c.split("_")[0] in ("BURO", "PREV", "INSTAL", "POS", "CC")]
+    cells = unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in names]), names).filter("value is not null")
+    return cells.groupBy(F.col("column").alias("column_name")).agg(F.count(F.lit(1)).alias("non_null"), F.count_if(F.col("value") > 0).alias("positive"))
+
+
 @query("a12_split_summary", f"select split, count(*) as n, {sql_rnd('avg(TARGET)')} as default_rate from assignment group by split")
 def split_summary(t):
     return rounded(M.split_summary(t.assignment))

@@ -3,13 +3,15 @@
 from pyspark.sql import functions as F
 
 from riskloom.catalog.metric_checks import CONF, auc_sql, curve_sql, rates_sql
-from riskloom.catalog.model_checks import local_scores, variant_models, variant_scores
+from riskloom.catalog.model_checks import own_and_pooled, variant_forest, variant_scores
 from riskloom.catalog.registry import EXACT, query, rounded, sql_rnd
+from riskloom.operators import boosting as T
 from riskloom.operators import bootstrap as B
 from riskloom.operators import metrics as M
 from riskloom.operators import predictions as P
 from riskloom.operators import shift as S
 from riskloom.operators.summaries import over_seeds
+from riskloom.session import materialise, small_table
 from riskloom.sources.sinks import mean_std_cell, starred_delta_cell
 
 CLIENTS = range(5)
@@ -80,9 +82,22 @@ def own_predictions(t):
 
 @query("c06_local_cross_matrix")
 def local_cross_matrix(t):
-    """Locally trained models scored on every institution's test rows, with the summary per institution."""
-    matrix = S.cross_matrix(local_scores(t))
-    return rounded(S.cross_summary(matrix))
+    """Per institution its own trees against the other institutions' on its test rows."""
+    data, forest = own_and_pooled(t)
+    return rounded(S.cross_summary(S.cross_matrix(T.scores(data, forest, ["own"], ["test"], every_model=True))))
+
+
+@query("c06_own_against_pooled")
+def own_against_pooled(t):
+    """Test AUC of every institution's trees and of the pooled trees on every institution, beside the difference of own and
+    pooled on its rows with a paired bootstrap interval."""
+    data, forest = own_and_pooled(t)
+    every = T.scores(data, forest, splits=["test"], every_model=True).withColumn("method", F.coalesce(F.concat(F.lit("C"), F.col("model").cast("string")), F.lit("pooled")))
+    every = materialise(every, "cross-scores")
+    matrix = S.cross_matrix(every, model="method")
+    pair = every.filter("role = 'pooled' or model = client").withColumn("method", F.col("role"))
+    delta = B.paired_bootstrap(pair, [("own", "pooled")], 500).select("client", "delta_auc", "ci_low", "ci_high", "p_delta_le_0")
+    return rounded(matrix.withColumnRenamed("method", "model").join(delta, "client"), 5)
 
 
 @query("c07_interaction_test")
@@ -96,14 +111,14 @@ def interaction_test(t):
 @query("c07_variant_report")
 def variant_report(t):
     """Trees kept, columns used, gain rank of the institution id and per-institution test AUC of each variant."""
-    out = None
-    for name, width, model in variant_models(t):
-        per = M.auc(model.predictions.filter("split = 'test'"), ["client"]).select(
-            F.lit(name).alias("variant"), F.lit(model.rounds).alias("rounds"), F.lit(width).alias("n_features"),
-            F.lit(model.gain_rank("CLIENT_ID")).cast("int").alias("client_id_gain_rank"), "client", "roc_auc",
-        )
-        out = per if out is None else out.unionByName(per)
-    return rounded(out, 4)
+    data, forest = variant_forest(t)
+    facts = []
+    for i, role in enumerate(forest.layout.roles):
+        rank = next((r for name, g, r in forest.importance(i) if name == "CLIENT_ID" and g > 0), None)
+        facts.append((role.name, int(forest.rounds[i]), len(role.features), rank))
+    known = small_table(t.spark, facts, "variant string, rounds int, n_features int, client_id_gain_rank int")
+    per = M.auc(T.scores(data, forest, splits=["test"]), ["role", "client"]).select(F.col("role").alias("variant"), "client", "roc_auc")
+    return rounded(known.join(per, "variant"), 4)
 
 
 PAIRS = [("a", "b"), ("a", "c"), ("b", "c")]

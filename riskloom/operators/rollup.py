@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import clean_name, keep_first_names
+from riskloom.session import materialise
 
 Spec = Mapping[str, Sequence[str]]
 
@@ -78,24 +79,18 @@ class Rollup:
 
 
 def vocabularies(df: DataFrame, columns: Sequence[str], max_values: int = 5000) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per column from one distinct pass. A column with more than ``max_values`` is an
-    error rather than a driver-side flood: the report counts before any value is fetched."""
+    """Sorted distinct non-null values per column, from one scan of these columns: sets are gathered and merged inside the
+    tasks, no row is unfolded. A value becomes a column, so more than ``max_values`` are an error; sizes are looked at in the
+    written sets, before any of them reaches the driver."""
     if not columns:
         return {}
-    pairs = (
-        df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])).alias("p"))
-        .select("p.*")
-        .filter(F.col("value").isNotNull())
-        .distinct()
-    )
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    rows = pairs.limit(max_values * len(columns) + 1).collect()
-    for r in rows:
-        out[r["name"]].append(r["value"])
-    over = [c for c, v in out.items() if len(v) > max_values]
-    if over or len(rows) > max_values * len(columns):
-        raise ValueError(f"too many categories to one-hot, give a vocabulary: {over or list(columns)}")
-    return {c: sorted(v) for c, v in out.items()}
+    found = materialise(df.agg(*[F.collect_set(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)]), "vocabularies")
+    sizes = found.select(*[F.size(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    over = [c for i, c in enumerate(columns) if sizes[i] > max_values]
+    if over:
+        raise ValueError(f"too many categories to one-hot, give a vocabulary: {over}")
+    row = found.first()
+    return {c: sorted(row[i]) for i, c in enumerate(columns)}
 
 
 def generic_spec(columns: Sequence[str], stats: Sequence[str] = ("min", "max", "mean")) -> dict[str, list[str]]:
@@ -110,14 +105,21 @@ def attach(parent: DataFrame, rolled: DataFrame, key: str) -> DataFrame:
 def varying_columns(df: DataFrame, keep: Sequence[str] = ("TARGET",)) -> list[str]:
     """Columns with at least two distinct non-null values, from one min/max pass over all columns."""
     names = df.columns
-    row = df.agg(
-        *[F.min(F.col(f"`{c}`")).eqNullSafe(F.max(F.col(f"`{c}`"))).alias(f"k{i}") for i, c in enumerate(names)]
-    ).first()
+    row = df.agg(*[_constant(c).alias(f"k{i}") for i, c in enumerate(names)]).first()
     return [c for i, c in enumerate(names) if c in keep or not row[f"k{i}"]]
 
 
+def _constant(column: str) -> Column:
+    return F.min(F.col(f"`{column}`")).eqNullSafe(F.max(F.col(f"`{column}`")))
+
+
 def drop_constant_columns(df: DataFrame, keep: Sequence[str] = ("TARGET",)) -> DataFrame:
-    return df.select(varying_columns(df, keep))
+    """The table without constant columns. It is evaluated once: written, with each column's least and greatest value
+    observed on the way, and read back without the columns that turned out constant."""
+    watch = Observation()
+    stored = materialise(df.observe(watch, *[_constant(c).alias(f"k{i}") for i, c in enumerate(df.columns)]), "observed")
+    found = watch.get
+    return stored.select([f"`{c}`" for i, c in enumerate(df.columns) if c in keep or not found[f"k{i}"]])
 
 
 def column_name(prefix: str, column: str, stat: str) -> str:
