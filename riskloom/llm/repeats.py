@@ -41,6 +41,8 @@ SLICE_BYTES = 1 << 20
 #: Bytes laid out for one suffix array, but always whole anchors.
 SHARD_BYTES = 1 << 20
 HOT_SEGMENTS = 8000
+#: Symbols up to which the string of names is sorted by another round of induction: each symbol costs a step.
+FEW_SYMBOLS = 1000
 #: Symbols of a laid out shard: the end, a separator, and the bytes.
 END, SEPARATOR, FIRST_BYTE = 0, 1, 2
 
@@ -234,7 +236,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         name = np.zeros(len(text), np.int32)
         name[order] = names
-        few = len(lms) >= 16 * (int(names[-1]) + 1)
+        few = names[-1] < FEW_SYMBOLS
         order = lms[suffix_array(name[lms], int(names[-1]) + 1) if few else order_of_names(name[lms])]
     return induce_by_bucket(text, smaller, order, symbols)
 
@@ -324,6 +326,7 @@ def marks(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), text_digest(F.col("text")).alias("t"), "text")
     each = materialise(segments(texts, length, anchor), "segments")
     often = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"))
+    often = materialise(often, "often")  # written, so that the join has both sides shuffled and can split a hot anchor
     # the texts of a hot anchor are many: dealt by text too, they are no one task's
     rows = each.join(often, F.col("key") == F.col("k")).drop("k").repartition("key", "seg", "t")
     places = rows.groupBy("key", "seg", "t", "at", "starts").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"))
@@ -333,6 +336,7 @@ def marks(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot:
     kinds = materialise(kinds, "kinds")
     twice = kinds.where("n > 1").select("key", "seg", F.lit(0).alias("lo"), F.col("one.starts").alias("hi"))
     several = kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("k"), "m")
+    several = materialise(several, "several")
     open_ = kinds.join(several, F.col("key") == F.col("k")).select("key", "seg", "n", "m", "one.*")
 
     wanted = open_.groupBy(F.col("t").alias("u"), F.col("doc").alias("d")).agg(F.collect_list(F.struct("at", "starts", "key", "seg", "n", "m")).alias("parts"))  # of one text
