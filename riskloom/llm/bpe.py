@@ -8,17 +8,22 @@ table holds every split of a token into two tokens, which is what ranking by joi
 
 Decoding joins token rows to the vocabulary and joins their bytes in order of position, per document.
 
+A word of more than ``LONG_WORD`` bytes (a run of letters without any cut) would make the recursion keep a row per byte and
+step, so it is contracted on its own, by the same rule, with a heap of its pairs: memory in proportion to the word.
+
 Memory: texts are taken in slices; encoded words are kept in two generations of at most ``KEEP`` words, so a task's memory
-does not grow with its input. Everything in Python is bounded by a slice; DuckDB runs on one thread with a memory limit.
+does not grow with its input. Everything in Python is bounded by a slice; DuckDB runs on one thread with a memory limit and
+no folder to spill to. The codec is closed at the end of its task.
 
 Defined results: null is the empty text, with no tokens; repeated rows are encoded each; any text round-trips; extra
-columns pass through; an empty table gives no rows.
+columns pass through, but one named like a result is replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -28,12 +33,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from riskloom.llm.common import bounded, slices, text_array
+from riskloom.llm.common import bounded, slices, text_array, without
 
 #: Words kept in each of two generations.
-KEEP = 200_000
+KEEP = 100_000
 #: Words that one recursive query encodes.
 WORDS_PER_QUERY = 25_000
+#: Bytes of the longest word that goes into a recursive query, and bytes of all words in one.
+LONG_WORD = 1000
+BYTES_PER_QUERY = 250_000
 SLICE_BYTES = 1 << 20
 DUCKDB_MEMORY = "300MB"
 
@@ -76,7 +84,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "allocator_flush_threshold": "1MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "allocator_flush_threshold": "1MB", "temp_directory": ""})
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -97,18 +105,57 @@ class Codec:
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Token ids (little-endian 32-bit) of each word."""
-        out: list[bytes] = []
-        for i in range(0, len(words), WORDS_PER_QUERY):
-            part = words[i : i + WORDS_PER_QUERY]
-            sizes = np.fromiter(map(len, part), np.int64, len(part))
-            number = np.repeat(np.arange(len(part), dtype=np.int64), sizes)
-            self._table("start", pa.table({"word": number, "place": np.arange(sizes.sum()) + number, "token": self.byte[np.frombuffer(b"".join(part), np.uint8)]}))
-            got = self.db.sql(ENCODE).to_arrow_table()
-            tokens = got["token"].to_numpy().astype("<u4").tobytes()
-            ends = 4 * np.searchsorted(got["word"].to_numpy(), np.arange(len(part) + 1))
-            out += [tokens[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        out = [b""] * len(words)
+        short: list[int] = []
+        size = 0
+        for i, word in enumerate(words):
+            if len(word) > LONG_WORD:
+                out[i] = self.contract(word)
+                continue
+            if len(short) == WORDS_PER_QUERY or size + len(word) > BYTES_PER_QUERY:
+                self._encode_part(words, short, out)
+                short, size = [], 0
+            short.append(i)
+            size += len(word)
+        if short:
+            self._encode_part(words, short, out)
         return out
 
+    def _encode_part(self, words: list[bytes], wanted: list[int], out: list[bytes]) -> None:
+        part = [words[i] for i in wanted]
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        number = np.repeat(np.arange(len(part), dtype=np.int64), sizes)
+        self._table("start", pa.table({"word": number, "place": np.arange(sizes.sum()) + number, "token": self.byte[np.frombuffer(b"".join(part), np.uint8)]}))
+        got = self.db.sql(ENCODE).to_arrow_table()
+        tokens = got["token"].to_numpy().astype("<u4").tobytes()
+        ends = 4 * np.searchsorted(got["word"].to_numpy(), np.arange(len(part) + 1))
+        for i, a, b in zip(wanted, ends[:-1], ends[1:], strict=True):
+            out[i] = tokens[a:b]
+
+    def contract(self, word: bytes) -> bytes:
+        """One word, whose leftmost pair of least rank is contracted until there is none."""
+        n, rank = len(word), self.ranks.get
+        following, previous = list(range(1, n + 2)), list(range(-1, n))
+        heap = [(r, s, s + 1, s + 2) for s in range(n - 1) if (r := rank(word[s : s + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, start, middle, end = heapq.heappop(heap)
+            if following[start] != middle or following[middle] != end:
+                continue  # one of the two is another token by now
+            following[start], following[middle], previous[end] = end, -1, start
+            for s, m in ((previous[start], start), (start, end)):
+                if s >= 0 and m < n and (r := rank(word[s : following[m]])) is not None:
+                    heapq.heappush(heap, (r, s, m, following[m]))
+        tokens, at = [], 0
+        while at < n:
+            tokens.append(self.ranks[word[at : following[at]]])
+            at = following[at]
+        return np.array(tokens, "<u4").tobytes()
+
+    def close(self) -> None:
+        self.db.close()
+        self.new, self.old = {}, {}
+
     def lookup(self, words: list[str]) -> list[bytes]:
         new, old = self.new, self.old
         missing = []
@@ -177,42 +224,36 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
-def codec(ranks: dict[bytes, int], key: str, pattern: str) -> Codec:
-    """One codec per process, so that later tasks of a worker know the words of earlier ones."""
-    if (key, pattern) not in _codecs:
-        _codecs[key, pattern] = Codec(ranks, pattern)
-    return _codecs[key, pattern]
-
-
 def tokenize(documents: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """All columns of the documents with n_tokens, ids_sha256, decoded_sha256 and, if wanted, the ids themselves."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    documents = without(documents, names)
     place = documents.columns.index("text")
     sent = documents.sparkSession.sparkContext.broadcast(ranks)  # the size of the vocabulary
-    key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for batch in batches:
-            own = own or codec(sent.value, key, pattern)
-            texts = text_array(batch.column(place))
-            for a, b in slices(texts, SLICE_BYTES):
-                part = texts.slice(a, b - a)
-                ids, counts = own.encode(part)
-                ends = np.cumsum(counts)
-                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-                new = [
-                    pa.array(counts),
-                    pa.array([hashlib.sha256(raw[4 * (e - c) : 4 * e]).hexdigest() for e, c in zip(ends, counts, strict=True)]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(ids, counts)]),
-                ]
-                if with_ids:
-                    new.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))))
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *new], [*rows.schema.names, *names])
+        try:
+            for batch in batches:
+                own = own or Codec(sent.value, pattern)
+                texts = text_array(batch.column(place))
+                for a, b in slices(texts, SLICE_BYTES):
+                    part = texts.slice(a, b - a)
+                    ids, counts = own.encode(part)
+                    ends = np.cumsum(counts)
+                    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                    new = [
+                        pa.array(counts),
+                        pa.array([hashlib.sha256(raw[4 * (e - c) : 4 * e]).hexdigest() for e, c in zip(ends, counts, strict=True)]),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(ids, counts)]),
+                    ]
+                    if with_ids:
+                        new.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))))
+                    rows = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *new], [*rows.schema.names, *names])
+        finally:
+            if own:
+                own.close()
 
     kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.LongType())]
     schema = T.StructType([*documents.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=False))])

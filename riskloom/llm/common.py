@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import riskloom
 from riskloom.session import materialise, scratch_path
 
-__all__ = ["ROWS_PER_BATCH", "Words", "bounded", "materialise", "prepare", "read", "scratch_path", "slices", "text_array", "word_shingles"]
+__all__ = ["ROWS_PER_BATCH", "Words", "bounded", "materialise", "prepare", "read", "scratch_path", "slices", "text_array", "without", "word_shingles"]
 
 #: Rows in one Arrow batch sent to Python; whole texts are long, so fewer than Spark's default.
 ROWS_PER_BATCH = 1000
@@ -68,6 +69,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{table}.parquet")
 
 
+def without(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows without columns that results will be named like (names are compared without case, as Spark does)."""
+    taken = {n.lower() for n in names}
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns if c.lower() not in taken))
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The column as plain strings, null as the empty text."""
     if isinstance(column, pa.ChunkedArray):

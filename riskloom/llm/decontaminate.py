@@ -9,7 +9,7 @@ is exact.
 The one pass over the texts keeps only places whose shingle occurs in some item. The items' shingles are broadcast when
 they are counted to be few (``broadcast_rows``); otherwise the same join shuffles both sides.
 
-Defined results: a null text has no words; repeated rows of the same id and text are one document; null ids group as one
+Defined results: a null text has no words; repeated rows of the same id and text are searched once and returned each; null ids group as one
 more id value; an empty item matches nothing; without items every document is clean; extra columns are ignored.
 """
 
@@ -56,7 +56,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def find(documents: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(sizes, matches, windows)``: words per document; verified (doc_id, rid, start, win, len); windows by item."""
+    """``(sizes, matches, windows)``: words per document and how many rows it has; verified (doc_id, rid, start, win, len); windows by item."""
     windows = materialise(item_windows(items, window), "windows")
     each = materialise(
         windows.select("win", "len").distinct().select("win", "len", F.split("win", " ").alias("w"), F.least("len", F.lit(shingle)).alias("width")), "patterns"
@@ -81,7 +81,7 @@ def find(documents: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, shi
         joined = places.join(wanted, F.col("sh") == F.col("wanted"), "left" if marker else "inner")
         found.append(joined.where("p < 0 or wanted is not null").select("doc_id", "rid", "n_words", "p", "sh"))
     places = materialise(reduce(DataFrame.unionByName, found), "places")
-    sizes = places.where("p < 0").select("doc_id", "rid", "n_words").distinct()
+    sizes = places.where("p < 0").groupBy("doc_id", "rid", "n_words").agg(F.count("*").cast("int").alias("rows"))
     if needles is None:
         empty = places.where("1 = 0").select("doc_id", "rid", F.col("p").alias("start"), F.col("sh").alias("win"), F.col("p").alias("len"))
         return sizes, empty, windows
@@ -109,7 +109,7 @@ def find(documents: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, shi
 
 
 def contamination(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Per document: n_words, n_hit (words inside any occurrence), item_ids (sorted strings), contaminated."""
+    """Per document: n_words, n_hit (words inside any occurrence), item_ids (sorted strings), contaminated, and the hash of id and text."""
     sizes, matches, windows = find(documents, items, **options)
     matches = materialise(matches, "matches")
     # covered words: spans sorted by start, each adds what lies beyond the furthest end so far
@@ -121,6 +121,8 @@ def contamination(documents: DataFrame, items: DataFrame, **options) -> DataFram
     both = spans.join(listed.withColumnsRenamed({"doc_id": "d", "rid": "r"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left").drop("d", "r")
     both = both.withColumnsRenamed({"doc_id": "d", "rid": "r"})
     return sizes.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")), "left").select(
+        "*", F.explode(F.array_repeat(F.lit(0), F.col("rows")))  # a row for each repeated one
+    ).select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "rid",
     )

@@ -13,7 +13,7 @@ while no link is lost: a pair of similarity 0.8 shares none of 32 bands of 5 val
 with about ``TOLERANCE``.
 
 Output per document: class id (least doc_id of its connected component of links), number of linked documents, size of the
-class. Copies are counted, not expanded.
+class, and, as ids may be shared, the class's key and the checksum of the text. Copies are counted, not expanded.
 
 Defined results: a text of fewer than five words, but not none, is one shingle; texts without words are linked only to
 equal texts; a null text is linked to nothing (class of its own id); repeated rows count as copies; null ids count in
@@ -72,7 +72,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """(doc_id, digest, sig): digest of the shingle set (of the text if it has no words; null for a null text)."""
+    """(doc_id, digest, sig, text_md5): digest of the shingle set (of the text if it has no words; null for a null text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +88,10 @@ def sketch(documents: DataFrame) -> DataFrame:
                     for s, t, n in zip(sets, plain, null[a:b], strict=True)
                 ]
                 rows = [x.tobytes() if len(s) else None for x, s in zip(sig, sets, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(rows, pa.binary()), batch.column(2).slice(a, b - a)], ["doc_id", "digest", "sig", "text_md5"])
 
-    return documents.select("doc_id", "text").mapInArrow(bounded(run), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, digest binary, sig binary")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text", F.md5("text").alias("text_md5")).mapInArrow(bounded(run), f"doc_id {kind}, digest binary, sig binary, text_md5 string")
 
 
 def least_matches(threshold: float = SIMILARITY, tolerance: float = TOLERANCE) -> np.ndarray:
@@ -232,7 +233,7 @@ def verified(threshold: float) -> Callable[[pa.Table], pa.Table]:
 
 
 def join(documents: DataFrame, threshold: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_links, class_size) for each document."""
+    """(doc_id, class_id, n_links, class_size, class_key, text_md5) for each document; the key is null for a null text."""
     sketches = materialise(sketch(documents), "sketches")
     sets = sketches.where(F.col("digest").isNotNull())
     reps = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.min("sig").alias("sig")), "representatives")
@@ -260,10 +261,11 @@ def join(documents: DataFrame, threshold: float = SIMILARITY, block: int = BLOCK
     each = each.join(of, F.col("digest") == F.col("node"), "left").select("digest", "rep", "n_docs", "linked", F.coalesce("root", "digest").alias("root"))
     each = materialise(each, "members")
     classes = each.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n_docs").alias("class_size"))
-    each = each.join(classes.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "class_id", "class_size", (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    out = sketches.select("doc_id", "digest").join(each, F.col("digest") == F.col("d"), "left")
+    each = each.join(classes.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("digest").alias("d"), F.col("root").alias("class_key"), "class_id", "class_size", (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    out = sketches.select("doc_id", "digest", "text_md5").join(each, F.col("digest") == F.col("d"), "left")
     alone = F.col("digest").isNull()
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        "class_key", "text_md5",
     )

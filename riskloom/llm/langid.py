@@ -16,7 +16,8 @@ documents may differ at any length, and ``least / sqrt(n)`` bits, by which short
 make false rejections, and a single odd one moves only its own class. Texts without any letter (``und``) are rejected too.
 
 Defined results: null or letterless text gives ``und``, score 0, rejected; ties go to the first language by name; without
-learning rows all texts are ``und``; repeated rows are scored each; extra columns pass through unread.
+learning rows all texts are ``und``; repeated rows are scored each; extra columns pass through unread, but one named like a result is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import bounded, materialise, slices, text_array
+from riskloom.llm.common import bounded, materialise, slices, text_array, without
 
 ORDER = 4
 MAX_NGRAMS = 2_000_000
@@ -216,6 +217,7 @@ ADDED = [("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy",
 
 def predict(documents: DataFrame, model: dict | None) -> DataFrame:
     """All columns of the documents with lang_pred, score, cross_entropy and n_letters."""
+    documents = without(documents, [n for n, _ in ADDED])
     place = documents.columns.index("text")
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -248,13 +250,15 @@ def calibrates(doc_id: Column) -> Column:
 
 def reject(scored: DataFrame, calibrate: Column, quantile: float = QUANTILE, spread: float = SPREAD, least: float = LEAST_Z) -> DataFrame:
     """Add ``rejected``. ``calibrate`` is true for rows that were not counted and have their language in column ``lang``."""
-    n = F.greatest(F.col("n_letters"), F.lit(1))
-    length = F.floor(F.log2(n) / 2)
-    good = scored.where(calibrate & (F.col("lang") == F.col("lang_pred"))).select(F.col("lang_pred").alias("_lang"), length.alias("_length"), "cross_entropy")
-    high = F.percentile_approx("cross_entropy", quantile, 10_000)
+    held = scored.select(F.struct(*(F.col(f"`{c}`") for c in scored.columns if c.lower() != "rejected")).alias("row"), F.coalesce(calibrate, F.lit(False)).alias("calibrate"))
+    pred, bits = F.col("row.lang_pred"), F.col("row.cross_entropy")
+    n = F.greatest(F.col("row.n_letters"), F.lit(1))
+    held = held.withColumn("length", F.floor(F.log2(n) / 2))
+    good = held.where(F.col("calibrate") & (F.col("row.lang") == pred)).select(pred.alias("of"), F.col("length").alias("size"), bits.alias("bits"))
+    high = F.percentile_approx("bits", quantile, 10_000)
     # a row per language and length class at most, and a row per language
-    limits = good.groupBy("_lang", "_length").agg(high.alias("_limit"))
-    whole = good.groupBy(F.col("_lang").alias("_any")).agg(high.alias("_whole"))
-    with_limits = scored.join(F.broadcast(limits), (F.col("lang_pred") == F.col("_lang")) & (length == F.col("_length")), "left").join(F.broadcast(whole), F.col("lang_pred") == F.col("_any"), "left")
-    above = F.col("cross_entropy") > F.coalesce("_limit", "_whole") + spread + least / F.sqrt(n)
-    return with_limits.withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(above, F.lit(False))).drop("_lang", "_length", "_limit", "_any", "_whole")
+    limits = good.groupBy("of", "size").agg(high.alias("limit"))
+    whole = good.groupBy(F.col("of").alias("any")).agg(high.alias("whole"))
+    held = held.join(F.broadcast(limits), (pred == F.col("of")) & (F.col("length") == F.col("size")), "left").join(F.broadcast(whole), pred == F.col("any"), "left")
+    above = bits > F.coalesce("limit", "whole") + spread + least / F.sqrt(n)
+    return held.select("row.*", ((pred == "und") | F.coalesce(above, F.lit(False))).alias("rejected"))

@@ -51,7 +51,7 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.join(read(spark, folder, "documents"))
+    return jaccard.join(read(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "class_size")
 
 
 def op7_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,8 @@ in order of a hash of the id. Every window of every text is scored.
 
 Defined results: null and empty texts have no window and get the probability of a document without hits; null labels are
 unlabelled; a document labelled twice counts as toxic if any label says so; without both classes the score is the share of
-toxic labels (0 without labels); repeated rows are scored each; extra columns pass through unread.
+toxic labels (0 without labels); repeated rows are scored each; extra columns pass through unread, but one named like a result is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import bounded, text_array
+from riskloom.llm.common import bounded, text_array, without
 
 WORD = re.compile(r"[^\W\d_]+")
 REPEAT = 4
@@ -225,6 +226,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, **bounds) -> dic
 
 def score(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of the documents with score (probability of being toxic) and predicted (0 or 1)."""
+    documents = without(documents, ["score", "predicted"])
     place = documents.columns.index("text")
     sent = documents.sparkSession.sparkContext.broadcast(model)
 

@@ -66,22 +66,22 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     d = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
     items = [(r.item_id, r.text) for r in table(spark, "benchmark").collect()]
     want = {(i, n, h, len(x), hashlib.sha256(",".join(x).encode()).hexdigest(), c) for i, n, h, x, c in hits(d, items)}
-    got = {tuple(r) for r in q.op1_decontamination(spark, SF).collect()}
-    assert got == want and any(r[-1] for r in want)
+    got = [tuple(r) for r in q.op1_decontamination(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and any(r[-1] for r in want)
 
 
 @pytest.mark.parametrize("broadcast_rows", [0, 10_000])
 def test_decontamination_of_awkward_rows(spark, docs, broadcast_rows):
     texts = ["One two", "word5x5", "", None, "a few", LONG[3000:3100], "lead two BLANKS tabs", "one", LONG[3000:3100]]
     items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string").withColumnRenamed("x", "y")
-    got = sorted((tuple(r) for r in decontaminate.contamination(docs, items, broadcast_rows=broadcast_rows).collect()), key=str)
-    want = sorted({(i, n, h, tuple(x), c) for i, n, h, x, c in hits(AWKWARD, list(enumerate(texts)))}, key=str)
-    assert [(a, b, c, tuple(x), e) for a, b, c, x, e in got] == want
+    got = decontaminate.contamination(docs, items, broadcast_rows=broadcast_rows).drop("rid").collect()
+    want = sorted(((i, n, h, tuple(x), c) for i, n, h, x, c in hits(AWKWARD, list(enumerate(texts)))), key=str)
+    assert sorted(((a, b, c, tuple(x), e) for a, b, c, x, e in got), key=str) == want
 
 
 def test_decontamination_of_empty_tables(spark, docs):
     clean = decontaminate.contamination(docs, empty(spark, "benchmark")).collect()
-    assert len(clean) == 10 and not any(r.contaminated for r in clean)
+    assert len(clean) == len(AWKWARD) and not any(r.contaminated for r in clean)
     assert decontaminate.contamination(empty(spark, "documents"), table(spark, "benchmark")).count() == 0
 
 
@@ -279,7 +279,7 @@ def test_jaccard_join_of_a_whole_table(spark):
 def test_jaccard_join_of_awkward_rows_and_dense_groups(spark, docs, block):
     d = AWKWARD + variants()
     more = docs.select("doc_id", "text").union(spark.createDataFrame(variants(), "doc_id bigint, text string"))
-    assert sorted((tuple(r) for r in jaccard.join(more, block=block).collect()), key=str) == brute_links(d)
+    assert sorted((tuple(r)[:4] for r in jaccard.join(more, block=block).collect()), key=str) == brute_links(d)
 
 
 def test_jaccard_join_of_an_empty_table(spark):
@@ -325,6 +325,18 @@ def test_tokens_of_awkward_rows(spark, docs):
     assert bpe.tokenize(empty(spark, "documents"), *q.tokenizer()).count() == 0
 
 
+def test_very_long_words():
+    """Runs of up to 100,000 letters, of many and of few kinds, beside short ones, with the ids of the tokenizer library."""
+    draw = random.Random(3)
+    ranks, pattern = q.tokenizer()
+    codec, own = bpe.Codec(ranks, pattern), reference_encoding()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    listed = ["a" * 100_000, "".join(draw.choices(letters, k=100_000)), "abc" * 2000, "é" * 3000, "".join(draw.choices("αβγδ漢字", k=2000)), "".join(draw.choices("etaoin", k=999)), "hello"]
+    for word, ids in zip(listed, codec.encode_words([w.encode() for w in listed]), strict=True):
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == own.encode_ordinary(word)
+    codec.close()
+
+
 # ---------------------------------------------------------------------------------------------------------- shards
 def test_shards_are_contiguous_and_equal(spark, docs):
     for frame, total in ((table(spark, "documents"), 16), (docs, 4), (docs, 30)):
