@@ -6,8 +6,11 @@ the longest n-grams are counted. The model holds, per order, one sorted array of
 per language, and a sorted array of contexts with their interpolation weights; a text is scored by binary search, falling
 back one order at a time. It goes to the language of lowest cross-entropy per character.
 
-Size: all n-grams are kept up to ``max_ngrams`` (language, n-gram) pairs; beyond that the smallest count that fits is
-required, found from the histogram of counts. So what is broadcast has a bound of some 100 MB.
+Size: no n-gram is ever left out. Up to ``max_ngrams`` (language, n-gram) pairs the model is put together on the driver and
+broadcast (some 100 MB at most). Beyond that it stays in tables: continuation counts, discounts, discounted probabilities
+and interpolation weights of all n-grams are Spark aggregations, written once; texts are dealt into blocks, the distinct
+n-grams of a block, their endings and contexts are joined to the tables, and a block is scored with the arrays put together
+from its own rows. Both ways compute the same probabilities.
 
 Rejection: a tenth of the learning texts is not counted but calibrates. Per language and length class (powers of four
 letters) the limit is the ``quantile`` of the cross-entropy of the calibrating texts, or of all those of the language where
@@ -23,6 +26,7 @@ replaced by it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,10 @@ from pyspark.sql import types as T
 from riskloom.llm.common import bounded, materialise, slices, text_array, without
 
 ORDER = 4
+#: Pairs up to which the model is broadcast; it does not change the result.
 MAX_NGRAMS = 2_000_000
+#: Characters of text in one block, where the model stays in tables.
+BLOCK_CHARS = 16_000_000
 QUANTILE = 0.995
 SPREAD = 0.5
 LEAST_Z = 20.0
@@ -158,35 +165,82 @@ def smooth(keys: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: list[st
     return model
 
 
-def fit(learn: DataFrame, max_ngrams: int = MAX_NGRAMS) -> dict | None:
+def fit(learn: DataFrame, max_ngrams: int = MAX_NGRAMS) -> dict | Tables | None:
     """A model from all rows of (lang, text) with a non-null language; None without any."""
     counts = materialise(count_ngrams(learn.where(F.col("lang").isNotNull())), "ngrams")
-    histogram = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 10,000 rows
-    if not histogram:
+    pairs = counts.count()
+    if not pairs:
         return None
-    least, total = 10_000, 0
-    for r in histogram:
-        total += r["count"]
-        if total > max_ngrams:
-            break
-        least = r["n"]
-    rows = counts.where(F.col("n") >= least).toPandas()
+    if pairs > max_ngrams:
+        return Tables(counts)
+    rows = counts.toPandas()
     languages = sorted(rows["lang"].unique())
     index = {x: i for i, x in enumerate(languages)}
     return smooth(rows["key"].to_numpy(np.int64).view(np.uint64), rows["lang"].map(index).to_numpy(np.int64), rows["n"].to_numpy(np.int64), languages)
 
 
+def ending(key: Column, k: int) -> Column:
+    """The last k characters of a key."""
+    return key if k == 4 else key.bitwiseAND(F.lit((1 << (16 * k)) - 1))
+
+
+class Tables:
+    """The same model as written tables: ``grams`` (k, key, lang, p), p being the discounted share of a seen n-gram, and
+    ``contexts`` (k, key, lang, weight), for all orders k and all n-grams."""
+
+    def __init__(self, counts: DataFrame, order: int = ORDER):
+        self.order, level = order, counts
+        self.languages = sorted(r[0] for r in counts.select("lang").distinct().collect())  # a row a language
+        grams, contexts = [], []
+        for k in range(order, 0, -1):
+            if k < order:  # continuation counts: how many distinct characters come before
+                level = materialise(level.groupBy("lang", ending(F.col("key"), k).alias("key")).agg(F.count(F.lit(1)).alias("n")), "continuations")
+            ones, twos = level.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+            of = F.shiftrightunsigned("key", 16)
+            total = level.groupBy("lang", of.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+            total = materialise(total, "contexts")
+            contexts.append(total.select(F.lit(k).alias("k"), F.col("context").alias("key"), "lang", (F.lit(discount) * F.col("kinds") / F.col("total")).alias("v")))
+            grams.append(level.withColumn("context", of).join(total, ["lang", "context"]).select(F.lit(k).alias("k"), "key", "lang", ((F.col("n") - F.lit(discount)) / F.col("total")).alias("v")))
+        self.alphabet = level.select("key").distinct().count()
+        self.grams = materialise(reduce(DataFrame.unionByName, grams), "grams")
+        self.contexts = materialise(reduce(DataFrame.unionByName, contexts), "weights")
+
+    def assemble(self, k: np.ndarray, key: np.ndarray, lang: np.ndarray, value: np.ndarray, is_gram: np.ndarray) -> dict:
+        """The arrays of ``smooth`` for the n-grams and contexts of these rows."""
+        return assemble(self.languages, self.order, self.alphabet, k, key, lang, value, is_gram)
+
+
+def assemble(languages: list[str], order: int, alphabet: int, k: np.ndarray, key: np.ndarray, lang: np.ndarray, value: np.ndarray, is_gram: np.ndarray) -> dict:
+    model: dict = {"languages": languages, "order": order, "keys": {}, "logp": {}, "contexts": {}, "weight": {}}
+    wide, lower_keys, lower_p = len(languages), np.zeros(0, np.uint64), None
+    for n in range(1, order + 1):
+        own, of = (k == n) & is_gram, (k == n) & ~is_gram
+        union, contexts = np.unique(key[own]), np.unique(key[of])
+        weight, p = np.ones((len(contexts), wide)), np.zeros((len(union), wide))
+        weight[np.searchsorted(contexts, key[of]), lang[of]] = value[of]
+        p[np.searchsorted(union, key[own]), lang[own]] = value[own]
+        place = np.searchsorted(contexts, union >> np.uint64(16) if n > 1 else np.zeros(len(union), np.uint64))
+        below = np.full((len(union), wide), 1.0 / (alphabet + 1)) if n == 1 else lower_p[np.searchsorted(lower_keys, union & np.uint64((1 << (16 * (n - 1))) - 1))]
+        p += weight[place] * below
+        model["keys"][n], model["logp"][n] = union, np.log2(p).astype(np.float32)
+        model["contexts"][n], model["weight"][n] = contexts, np.log2(np.maximum(weight, 1e-12)).astype(np.float32)
+        lower_keys, lower_p = union, p
+    model["unknown"] = float(np.log2(1.0 / (alphabet + 1)))
+    return model
+
+
 def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
-    return at, keys[at] == wanted
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
 def log_probabilities(model: dict, keys: np.ndarray, k: int | None = None) -> np.ndarray:
     """Log2 of the probability of each n-gram's last character, a column per language."""
     k = k or model["order"]
     at, seen = _look(model["keys"][k], keys)
-    out = model["logp"][k][at]
+    out = model["logp"][k][at] if len(model["keys"][k]) else np.zeros((len(keys), len(model["languages"])), np.float32)
     lost = np.flatnonzero(~seen)
     if len(lost):
         rest = keys[lost]
@@ -196,7 +250,7 @@ def log_probabilities(model: dict, keys: np.ndarray, k: int | None = None) -> np
             shorter, where = np.unique(rest & np.uint64((1 << (16 * (k - 1))) - 1), return_inverse=True)
             below = log_probabilities(model, shorter, k - 1)[where]
             place, known = _look(model["contexts"][k], rest >> np.uint64(16))
-            out[lost] = below + np.where(known[:, None], model["weight"][k][place], 0)
+            out[lost] = below + (np.where(known[:, None], model["weight"][k][place], 0) if len(model["weight"][k]) else 0)
     return out
 
 
@@ -215,34 +269,77 @@ def cross_entropies(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarr
 ADDED = [("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("n_letters", pa.int64())]
 
 
-def predict(documents: DataFrame, model: dict | None) -> DataFrame:
+def scored_columns(model: dict | None, texts: list[str]) -> list[pa.Array]:
+    n = len(texts)
+    best, score, ce, letters = ["und"] * n, np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+    if model is not None and n:
+        bits, sizes, letters = cross_entropies(model, texts)
+        win = bits.argmin(axis=1)
+        ce = bits[np.arange(n), win]
+        gap = (bits - ce[:, None]) * np.sqrt(sizes)[:, None]
+        score = np.where(letters > 0, 1 / np.exp2(-np.minimum(gap, 60)).sum(axis=1), 0.0)
+        best = [model["languages"][w] if k else "und" for w, k in zip(win, letters, strict=True)]
+    return [pa.array(best, pa.string()), pa.array(score), pa.array(np.where(letters > 0, ce, 0.0)), pa.array(letters.astype(np.int64))]
+
+
+def predict(documents: DataFrame, model: dict | Tables | None) -> DataFrame:
     """All columns of the documents with lang_pred, score, cross_entropy and n_letters."""
     documents = without(documents, [n for n, _ in ADDED])
+    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("n_letters", T.LongType())])
+    if isinstance(model, Tables):
+        return predict_in_blocks(documents, model, schema)
     place = documents.columns.index("text")
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for batch in batches:
             texts = text_array(batch.column(place))
             for a, b in slices(texts):
-                n = b - a
-                best, score, ce, letters = ["und"] * n, np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-                if known is not None:
-                    bits, sizes, letters = cross_entropies(known, texts.slice(a, n).to_pylist())
-                    win = bits.argmin(axis=1)
-                    ce = bits[np.arange(n), win]
-                    gap = (bits - ce[:, None]) * np.sqrt(sizes)[:, None]
-                    score = np.where(letters > 0, 1 / np.exp2(-np.minimum(gap, 60)).sum(axis=1), 0.0)
-                    best = [known["languages"][w] if k else "und" for w, k in zip(win, letters, strict=True)]
-                own = batch.slice(a, n)
-                new = [pa.array(best, pa.string()), pa.array(score), pa.array(np.where(letters > 0, ce, 0.0)), pa.array(letters.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*own.columns, *new], [*own.schema.names, *(x for x, _ in ADDED)])
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*own.columns, *scored_columns(sent.value, texts.slice(a, b - a).to_pylist())], [*own.schema.names, *(x for x, _ in ADDED)])
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("n_letters", T.LongType())])
     return documents.mapInArrow(bounded(run), schema)
 
 
+def predict_in_blocks(documents: DataFrame, model: Tables, schema: T.StructType, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Blocks of documents meet the rows of the model that their own n-grams need."""
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    # equal rows are spread by their place in the table, which decides nothing else
+    rows = materialise(rows.withColumn("nth", F.monotonically_increasing_id()), "numbered")
+    blocks = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("nth"), F.lit(blocks))).drop("nth")
+    order, languages, alphabet = model.order, model.languages, model.alphabet
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, block = text_array(batch.column(1)), np.asarray(batch.column(0))
+            for a, b in slices(texts):
+                keys, number, _ = characters(texts.slice(a, b - a).to_pylist(), order)
+                for x in np.unique(block[a:b]):
+                    mine = np.unique(keys[(block[a:b] == x)[number]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), x)), pa.array(mine.view(np.int64))], ["block", "key"])
+
+    asked = rows.select("block", "text").mapInArrow(bounded(wanted), "block bigint, key bigint").distinct()
+    asked = materialise(asked, "asked")
+    each = [asked.select("block", F.lit(k).alias("k"), ending(F.col("key"), k).alias("key")).distinct() for k in range(1, order + 1)]
+    grams = reduce(DataFrame.unionByName, each)
+    contexts = grams.select("block", "k", F.shiftrightunsigned("key", 16).alias("key")).distinct()
+    needed = grams.join(model.grams, ["k", "key"]).withColumn("gram", F.lit(True)).unionByName(contexts.join(model.contexts, ["k", "key"]).withColumn("gram", F.lit(False)))
+
+    def score(held: pa.Table, known: pa.Table) -> pa.Table:
+        index = {x: i for i, x in enumerate(languages)}
+        lang = np.array([index[x] for x in known["lang"].to_pylist()], np.int64)
+        own = assemble(languages, order, alphabet, known["k"].to_numpy(), known["key"].to_numpy().view(np.uint64), lang, known["v"].to_numpy(), known["gram"].to_numpy(zero_copy_only=False)) if len(known) else None
+        texts = text_array(held["text"])
+        parts = [scored_columns(own, texts.slice(a, b - a).to_pylist()) for a, b in slices(texts)]
+        new = [pa.concat_arrays(list(x)) for x in zip(*parts, strict=True)]
+        return pa.Table.from_arrays([held["row"], *new], ["row", *(x for x, _ in ADDED)])
+
+    kinds = T.StructType([rows.schema["row"], *schema.fields[-len(ADDED):]])
+    got = rows.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(score, kinds)
+    return got.select("row.*", *(x for x, _ in ADDED))
+
+
 def calibrates(doc_id: Column) -> Column:
     """Rows that are not counted but calibrate the rejection: about a tenth, by a hash of the id."""
     return F.pmod(F.xxhash64(F.lit("calibrate"), doc_id), F.lit(10)) == 0

@@ -109,6 +109,73 @@ def test_counts_equal_a_plain_count(spark):
     assert got == dict(want)
 
 
+def brute_kneser_ney(rows):
+    """A function (lang, four characters) -> probability of the last one, from dictionaries."""
+    count = collections.defaultdict(collections.Counter)
+    for lang, text in rows:
+        flat = "   " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).lstrip()
+        for i in range(len(flat) - 3):
+            count[4, lang][flat[i : i + 4]] += 1
+    langs = sorted({lang for _, lang in count})
+    for k in (3, 2, 1):
+        for lang in langs:
+            for gram in count[k + 1, lang]:
+                count[k, lang][gram[1:]] += 1
+    discount, alphabet = {}, len({g for lang in langs for g in count[1, lang]})
+    for k in (1, 2, 3, 4):
+        values = [n for lang in langs for n in count[k, lang].values()]
+        ones, twos = values.count(1), values.count(2)
+        discount[k] = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def p(lang, gram):
+        if not gram:
+            return 1 / (alphabet + 1)
+        k = len(gram)
+        own = {g: n for g, n in count[k, lang].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(lang, gram[1:])
+        total = sum(own.values())
+        return max(own.get(gram, 0) - discount[k], 0) / total + discount[k] * len(own) / total * p(lang, gram[1:])
+
+    return langs, p
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    import numpy as np
+
+    draw = random.Random(4)
+    rows = [(x, " ".join("".join(draw.choices(a, k=draw.randint(1, 5))) for _ in range(30))) for x, a in (("x", "abcde"), ("y", "cdefgé")) for _ in range(3)]
+    langs, p = brute_kneser_ney(rows)
+    learn = prepare(spark).createDataFrame(rows, "lang string, text string")
+    grams = ["".join(draw.choices(" abcdefgéz", k=4)) for _ in range(300)]
+    keys = np.array([sum(ord(c) << (48 - 16 * j) for j, c in enumerate(g)) for g in grams], np.uint64)
+    want = np.log2([[p(lang, g) for lang in langs] for g in grams])
+    assert np.abs(langid.log_probabilities(langid.fit(learn), keys) - want).max() < 1e-4
+    tables = langid.fit(learn, max_ngrams=0)
+    parts = [t.withColumn("gram", F.lit(g)) for t, g in ((tables.grams, True), (tables.contexts, False))]
+    got = parts[0].unionByName(parts[1]).toPandas()
+    lang = got["lang"].map(langs.index).to_numpy()
+    model = tables.assemble(got["k"].to_numpy(), got["key"].to_numpy().view(np.uint64), lang, got["v"].to_numpy(), got["gram"].to_numpy())
+    assert np.abs(langid.log_probabilities(model, keys) - want).max() < 1e-4
+
+
+@pytest.mark.parametrize("block_chars", [1 << 24, 100_000])
+def test_a_model_in_tables_predicts_the_same(spark, docs, block_chars):
+    learn = table(spark, "documents").where("doc_id % 3 != 0").select("lang", "text")
+    small, large = langid.fit(learn), langid.fit(learn, max_ngrams=100)
+    assert isinstance(small, dict) and isinstance(large, langid.Tables)
+    frame = table(spark, "documents").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    key = lambda r: (str(r.doc_id), hashlib.md5((r.text or "").encode()).hexdigest())
+    a = sorted(langid.predict(frame, small).collect(), key=key)
+    schema = langid.predict(frame, small).schema
+    b = sorted(langid.predict_in_blocks(frame, large, schema, block_chars).collect(), key=key)
+    assert len(a) == len(b) == frame.count()
+    for x, y in zip(a, b, strict=True):
+        assert (x.doc_id, x.lang_pred, x.n_letters) == (y.doc_id, y.lang_pred, y.n_letters)
+        assert abs(x.score - y.score) < 1e-4 and abs(x.cross_entropy - y.cross_entropy) < 1e-4
+    assert langid.predict(empty(spark, "documents"), large).count() == 0
+
+
 def test_language_of_held_out_documents(spark):
     rows = q.op2_language_id(spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in table(spark, "documents", "/root/testdata/sf0.01").collect()}
