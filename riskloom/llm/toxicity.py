@@ -11,8 +11,11 @@ A document's features are the shares and the counts of windows whose distance re
 regression turns them into a calibrated probability. It is fitted on labelled documents, each half of them measured with
 dictionaries of the other half; the dictionaries that score are then trained on all of them.
 
-Bounds, all of labelled rows for fitting: at most ``FIT_ROWS`` rows of a class and ``FIT_CHARS`` characters in all, taken
-in order of a hash of the id. Every window of every text is scored.
+Bounds, all of labelled rows for fitting: of each class the first rows in order of a hash of the id, at most ``FIT_ROWS``
+and as many as have ``CLASS_CHARS`` characters together (one at least; no row is passed over for its length); the ordinary
+dictionary is trained on ``SAMPLE_LINES`` lines of these. Rows weigh as many as they stand for, the labelled rows of their
+class over those taken, so the probability and its threshold mean the same at every size. Every window of every text is
+scored.
 
 Defined results: null and empty texts have no window and get the probability of a document without hits; null labels are
 unlabelled; a document labelled twice counts as toxic if any label says so; without both classes the score is the share of
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import bounded, text_array, without
+from riskloom.llm.common import bounded, materialise, text_array, without
 
 WORD = re.compile(r"[^\W\d_]+")
 REPEAT = 4
@@ -46,7 +49,7 @@ BEGINNINGS = (4, 5, 7)
 SAMPLE_LINES = 40_000
 PAIRS = 2
 FIT_ROWS = 3000
-FIT_CHARS = 24_000_000
+CLASS_CHARS = 12_000_000
 ORDINARY_BYTES = 60_000
 TOXIC_BYTES = 3_000
 KEEP = 150_000
@@ -163,45 +166,51 @@ def train(toxic: list[str], ordinary: list[str]) -> list[tuple[bytes, bytes]]:
     return pairs
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton steps until they no longer move."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton steps until they no longer move; ``weight`` is what a row counts."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    n = np.ones(len(x)) if weight is None else weight
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (n * (y - p)) - penalty * w)
         w = w + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             return w
     raise RuntimeError("the calibration did not converge")
 
 
-def sample(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list[tuple[int, int, str]]:
-    """(doc_id, toxic, text) of at most ``rows`` documents a class and ``chars`` characters, in order of a hash of the id."""
+def sample(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = FIT_ROWS, chars: int = CLASS_CHARS) -> tuple[list[tuple[int, int, str]], dict[int, int]]:
+    """(doc_id, toxic, text) of the first documents of each class in order of a hash of the id, at most ``rows`` of them
+    and ``chars`` characters a class (one at least); and how many documents of each class there are to learn from."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     sizes = documents.where(learn & F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n")).join(marked, F.col("doc_id") == F.col("_id"))
+    sizes = materialise(sizes.groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"), F.max("n").alias("n")), "labelled")
+    there = {r["_toxic"]: r["count"] for r in sizes.groupBy("_toxic").count().collect()}  # two rows
     chosen: dict[int, int] = {}
-    left = chars
-    for label in (1, 0):
-        for r in sizes.where(F.col("_toxic") == label).select("doc_id", "n").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(rows).collect():
-            if left >= r["n"]:
-                left -= r["n"]
-                chosen[r["doc_id"]] = label
+    for label in there:
+        left = chars
+        for r in sizes.where(F.col("_toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect():
+            left -= r["n"]
+            if left < 0 and label in chosen.values():
+                break
+            chosen[r["doc_id"]] = label
     if not chosen:
-        return []
+        return [], there
     spark = documents.sparkSession
     ids = F.broadcast(spark.createDataFrame(list(chosen.items()), "id bigint, toxic int"))  # at most 2 * rows
-    got = documents.where(learn).join(ids, F.col("doc_id") == F.col("id")).select("doc_id", ids["toxic"], "text").dropDuplicates(["doc_id"]).collect()
-    return sorted((r[0], r[1], r[2] or "") for r in got)
+    got = documents.where(learn & F.col("text").isNotNull()).join(ids, F.col("doc_id") == F.col("id")).select("doc_id", ids["toxic"], "text").dropDuplicates(["doc_id"]).collect()
+    return sorted((r[0], r[1], r[2]) for r in got), there
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, **bounds) -> dict:
-    rows = sample(documents, labels, learn, **bounds)
+    rows, there = sample(documents, labels, learn, **bounds)
     y = np.array([r[1] for r in rows], float)
-    if not len(rows) or y.min() == y.max():
-        return {"prior": float(y.mean()) if len(rows) else 0.0}
+    if len(there) < 2:
+        return {"prior": float(max(there, default=0))}
+    counts = {c: there[c] / (y == c).sum() for c in (0, 1)}
     half = [zlib.crc32(f"fit{r[0]}".encode()) % 2 for r in rows]
     groups = [[r for r, h in zip(rows, half, strict=True) if h == side] for side in (0, 1)]
     if any(len({r[1] for r in g}) < 2 for g in groups):
@@ -221,7 +230,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, **bounds) -> dic
     held = documents.where(learn).join(marks, F.col("doc_id") == F.col("id")).select(marks["toxic"], "fold", F.coalesce("text", F.lit("")).alias("text"))
     got = held.mapInArrow(bounded(measure), "toxic int, x array<double>").collect()  # eight numbers a row
     x = np.array([r["x"] for r in got])
-    return {"pairs": train(*by_label(rows)), "weights": logistic(x, np.array([r["toxic"] for r in got], float))}
+    toxic = np.array([r["toxic"] for r in got], float)
+    return {"pairs": train(*by_label(rows)), "weights": logistic(x, toxic, np.where(toxic == 1, counts[1], counts[0]))}
 
 
 def score(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:

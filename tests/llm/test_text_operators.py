@@ -233,7 +233,7 @@ def test_toxicity_of_held_out_documents(spark):
     caught = sum(s >= 0.7 for s, y in held if y) / toxic
     wrong = sum(s >= 0.7 for s, y in held if not y) / (len(held) - toxic)
     print("auc", auc, "caught", caught, "wrong", wrong)
-    assert auc > 0.75 and caught > 0.55 and wrong < 0.01  # under 300 toxic documents in four languages to learn from
+    assert auc > 0.95 and caught > 0.55 and wrong < 0.01  # under 300 toxic documents in four languages to learn from
 
 
 def test_toxicity_of_awkward_rows(spark, docs):
@@ -252,6 +252,24 @@ def test_toxicity_of_awkward_rows(spark, docs):
     assert toxicity.score(empty(spark, "documents"), model).count() == 0
 
 
+def test_long_toxic_texts_leave_ordinary_ones_to_learn_from(spark):
+    """Toxic texts that use up any common budget of characters; the score means the same with few and with many rows."""
+    draw = random.Random(5)
+    plain = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    marked = ["horribilis", "abominus", "detestor"]
+    text = lambda n, bad: " ".join(draw.choice(marked) if bad and draw.random() < 0.1 else draw.choice(plain) for _ in range(n))
+    rows = [(i, text(3000, True), 1) for i in range(40)] + [(1000 + i, text(60, False), 0) for i in range(600)]
+    known = prepare(spark).createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    learn = known["doc_id"].isNotNull()
+    taken, there = toxicity.sample(known.drop("toxic"), known.select("doc_id", "toxic"), learn, rows=100, chars=100_000)
+    of = collections.Counter(y for _, y, _ in taken)
+    assert there == {0: 600, 1: 40} and of[0] == 100 and 1 <= of[1] < 40
+    assert sum(len(t) for _, y, t in taken if y) <= 100_000
+    model = toxicity.fit(known.drop("toxic"), known.select("doc_id", "toxic"), learn, rows=100, chars=100_000)
+    got = toxicity.score(known, model).collect()
+    assert all(r.predicted == r.toxic for r in got)
+
+
 # --------------------------------------------------------------------------------------------------- fingerprints
 def check_fingerprints(rows, documents):
     order = sorted(documents, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
