@@ -49,13 +49,21 @@ def label_partition(t):
     return rounded(P.share_partition(t.application.select("SK_ID_CURR", "TARGET"), "TARGET", LABEL_SHARES, "label").select("SK_ID_CURR", "client"))
 
 
-OWNER = {k: (k * 7 + 3) % 5 for k in range(25)}
+TERRITORY_SHARES = P.drawn_shares(5, 0.5, P.np.random.default_rng(42))
+REGION_SQL = "cast(round(REGION_POPULATION_RELATIVE*1000)-1 as int)"
 
 
-@query("pt03_territory_partition", "select SK_ID_CURR, cast(case cast(round(REGION_POPULATION_RELATIVE*1000)-1 as int) " + " ".join(f"when {r} then {k}" for r, k in OWNER.items()) + " end as bigint) as client from application")
+@query("pt03_territory_partition", f"""
+with recursive counted as (select {REGION_SQL} as region, count(*) as n from application group by 1),
+drawn as (select region, n, row_number() over (order by sha256('territory42|'||region), region) as turn from counted),
+walk as (select 0::bigint as turn, -1 as region, -1::bigint as client, [{', '.join(f'{q!r}::double*(select sum(n) from counted)' for q in TERRITORY_SHARES)}] as lacks
+ union all select d.turn, d.region, list_position(lacks, list_max(lacks)) - 1, list_transform(lacks, lambda x, i: case when i = list_position(lacks, list_max(lacks)) then x - d.n else x end)
+ from walk w join drawn d on d.turn = w.turn + 1)
+select SK_ID_CURR, w.client from application a join walk w on w.region = cast(round(a.REGION_POPULATION_RELATIVE*1000)-1 as int)""")
 def territory_partition(t):
+    """Regions counted, drawn in hash order and walked: each goes to the institution furthest below its drawn share."""
     regions = t.application.select("SK_ID_CURR", (F.round(F.col("REGION_POPULATION_RELATIVE") * 1000) - 1).cast("int").alias("region"))
-    return rounded(P.apply_owners(regions, "region", OWNER).select("SK_ID_CURR", "client"))
+    return rounded(P.territory_partition(regions, "region", TERRITORY_SHARES, "territory42").select("SK_ID_CURR", "client"))
 
 
 def segmented(t):

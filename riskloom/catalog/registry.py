@@ -42,6 +42,8 @@ def with_views(sql: str) -> str:
     if not ctes:
         return sql.strip()
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"

@@ -7,6 +7,8 @@ done by thresholds, so only customers near a cut are sorted and shuffled.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 from collections.abc import Mapping, Sequence
 
@@ -98,14 +100,15 @@ def cut_ranks(ranked: DataFrame, stratum: str, shares: Mapping, sizes: Mapping,
 
 
 # ----------------------------------------------------------------------------------------------------------- territories
-def greedy_owners(sizes: Mapping, targets: Sequence[float], order: Sequence) -> dict:
-    """Whole regions in the given order, each to the client furthest below its target size (first wins ties)."""
-    load = [0.0] * len(targets)
+def fill_territories(regions: Sequence[tuple], targets: Sequence[float]) -> dict:
+    """Client of each (region, customers), taken in the given order: the one that lacks most customers at that time, the
+    first of equals. The lacks are kept in a heap."""
+    lacks = [(-float(t), client) for client, t in enumerate(targets)]
+    heapq.heapify(lacks)
     owner = {}
-    for r in order:
-        k = max(range(len(targets)), key=lambda i: (targets[i] - load[i], -i))
-        owner[r] = k
-        load[k] += sizes[r]
+    for region, customers in regions:
+        lack, owner[region] = lacks[0]
+        heapq.heapreplace(lacks, (lack + customers, owner[region]))
     return owner
 
 
@@ -117,11 +120,26 @@ def apply_owners(df: DataFrame, region: str, owner: Mapping, out: str = "client"
     return df.join(table, region, "left")
 
 
-def territory_draw(sizes: Mapping, clients: int, alpha: float, rng: np.random.Generator) -> tuple[dict, list[float]]:
-    q = rng.dirichlet(alpha * np.ones(clients))
-    names = sorted(sizes)
-    order = [names[i] for i in rng.permutation(len(names))]
-    return greedy_owners(sizes, (q * sum(sizes.values())).tolist(), order), q.tolist()
+def drawn_shares(clients: int, alpha: float, rng: np.random.Generator) -> list[float]:
+    """Each client's share of all customers, one Dirichlet draw."""
+    return rng.dirichlet([alpha] * clients).tolist()
+
+
+def draw_order(regions: Sequence, salt: str) -> list:
+    """Regions in the order of a hash, the same on every run and in SQL."""
+    return sorted(regions, key=lambda r: (hashlib.sha256(f"{salt}|{r}".encode()).hexdigest(), r))
+
+
+def draw_territories(sizes: Mapping, shares: Sequence[float], salt: str) -> dict:
+    """{region: client}: whole regions, drawn order, each to the client furthest below its share of the customers."""
+    total = sum(sizes.values())
+    return fill_territories([(r, sizes[r]) for r in draw_order(sizes, salt)], [q * total for q in shares])
+
+
+def territory_partition(df: DataFrame, region: str, shares: Sequence[float], salt: str, out: str = "client") -> DataFrame:
+    """Count the regions, draw their order, fill the clients, and give every customer its region's client."""
+    sizes = {r[region]: r["n"] for r in small_counts(df, [region])}
+    return apply_owners(df, region, draw_territories(sizes, shares, salt), out)
 
 
 # ------------------------------------------------------------------------------------------------------- semantic hash
@@ -183,7 +201,8 @@ def partition_clients(
         for r in cells:
             sizes[r[attribute]] = sizes.get(r[attribute], 0) + r["n"]
         for attempt in range(1, max_tries + 1):
-            owner, target = territory_draw(sizes, clients, alpha, rng)
+            target = drawn_shares(clients, alpha, rng)
+            owner = draw_territories(sizes, target, f"{method}{seed}-{attempt}")
             counts: dict = {}
             for r in cells:
                 at = (owner[r[attribute]], r["split"], r[TARGET])

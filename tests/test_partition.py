@@ -76,7 +76,13 @@ def test_impossible_constraints_are_an_error(spark):
 
 
 def test_greedy_owner_takes_largest_deficit_first_wins():
-    assert P.greedy_owners({"a": 5, "b": 3, "c": 2}, [5.0, 5.0], ["a", "b", "c"]) == {"a": 0, "b": 1, "c": 1}
+    assert P.fill_territories([("a", 5), ("b", 3), ("c", 2)], [5.0, 5.0]) == {"a": 0, "b": 1, "c": 1}
+    sizes = {i: 10 + i for i in range(40)}
+    owner = P.draw_territories(sizes, [0.5, 0.3, 0.2], "x")
+    load = [sum(n for r, n in sizes.items() if owner[r] == k) for k in range(3)]
+    assert sorted(owner) == list(range(40)) and owner == P.draw_territories(dict(reversed(sizes.items())), [0.5, 0.3, 0.2], "x") != P.draw_territories(sizes, [0.5, 0.3, 0.2], "y")
+    # no client is off its share by more than one region
+    assert all(abs(n - q * sum(sizes.values())) <= 50 for n, q in zip(load, [0.5, 0.3, 0.2], strict=True))
 
 
 def test_semantic_hash_contract(spark):
