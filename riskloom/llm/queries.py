@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, license_scan, manifest, repeats, runs, shards, toxicity, warc
 from riskloom.llm.common import materialise, read
+from riskloom.llm.twins import ORACLES as ORACLES
 
 RUNS = dict[str, Callable[[SparkSession, str], DataFrame]]
 
@@ -152,4 +153,3 @@ QUERIES: RUNS = {
     f.__name__: f
     for f in (op1_decontamination, op2_language_id, op3_toxicity, op4_warc, op5_fingerprints, op6_jaccard_join, op7_chat_perspectives, op8_license_scan, op9_byte_bpe, op10_byte_shards, op11_periodic_runs, op12_merkle_manifest, op13_repeated_bytes, pipeline)
 }
-ORACLES: dict[str, str] = {}
