@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import uniform
@@ -19,7 +19,7 @@ from riskloom.operators.contracts import ContractError
 from riskloom.operators.ordered import hashed_prefix, hashed_rank, prefix_sums
 from riskloom.operators.summaries import union_schemas
 from riskloom.plans import credit as C
-from riskloom.session import materialise
+from riskloom.session import materialise, small_table
 
 CUSTOMER, BUREAU, PREV = "customer", "bureau", "prev"
 EVENTS = ["installment", "pos", "cc"]
@@ -311,19 +311,37 @@ def with_reverse(forward: DataFrame) -> DataFrame:
     return forward.select(F.inline(F.array(F.struct("src_type", "rel", "dst_type", "src", "dst", "root_id"), twin)))
 
 
+EDGE_CHECKS = ["edges", "edges_without_parent", "reverse_differences", "cross_customer_edges", "children_without_one_parent"]
+
+
+def _signed_hashes(sign: Column, *key: str) -> list[Column]:
+    """Aggregates that are all 0 if every key occurs as often with sign 1 as with -1: additive hashes of multisets. NULL
+    (an overflow) counts as a difference."""
+    h = F.xxhash64(*key)
+    halves = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    return [F.sum(sign).alias("h0"), *(F.try_sum(sign * x).alias(f"h{i}") for i, x in enumerate(halves, 1))]
+
+
+def _unequal(row: Row) -> bool:
+    return any(row[f"h{i}"] != 0 for i in range(3))
+
+
 def validate_forest(nodes: Mapping[str, DataFrame], edge: DataFrame) -> DataFrame:
     """Per relation: edges, edges with an unknown parent, children without exactly one parent, edges that differ from
-    their reverse, and edges that connect two customers' trees. All relations in one pass: forward and reverse edges meet
-    in one grouping, parents and children are looked up once. Identical events share a key, so what is compared is how
-    often each edge and each child occurs."""
+    their reverse, and edges that connect two customers' trees.
+
+    Forward edges are held against reverse ones, and edges against children, by additive hashes per relation in one scan
+    each, without grouping by edge; only relations whose hashes differ are grouped to count the violations. Identical
+    events share a key, so what is compared is how often each edge and each child occurs. Parents are looked up by the
+    distinct keys of the edges."""
     backward = F.col("rel").startswith("rev_")
     oriented = edge.select(
         F.when(backward, F.substring("rel", 5, 1000)).otherwise(F.col("rel")).alias("rel"),
         F.when(backward, F.col("dst")).otherwise(F.col("src")).alias("src"),
         F.when(backward, F.col("src")).otherwise(F.col("dst")).alias("dst"),
-        "root_id", backward.cast("int").alias("back"),
+        "root_id", F.when(backward, F.lit(-1)).otherwise(F.lit(1)).alias("sign"),
     )
-    pairs = oriented.groupBy("rel", "src", "dst", "root_id").agg(F.sum(1 - F.col("back")).alias("f"), F.sum("back").alias("r"))
+    forward = oriented.filter("sign = 1")
     parents = children = None
     for r in RELATIONS:
         pid = ROOT if r.parent == CUSTOMER else LOAN
@@ -332,23 +350,46 @@ def validate_forest(nodes: Mapping[str, DataFrame], edge: DataFrame) -> DataFram
         down = nodes[r.child].select(F.lit(r.name).alias("rel"), F.col(cid).alias("dst"), F.col(ROOT).alias("root_id"))
         parents = up if parents is None else parents.unionByName(up)
         children = down if children is None else children.unionByName(down)
+    to_customer = [r.name for r in RELATIONS if r.parent == CUSTOMER]
+    crossing = F.col("rel").isin(to_customer) & (F.col("src") != F.col("root_id"))
+    both = {r["rel"]: r for r in oriented.groupBy("rel").agg(
+        F.count_if(F.col("sign") == 1).alias("edges"), F.count_if((F.col("sign") == 1) & crossing).alias("cross_customer_edges"), *_signed_hashes(F.col("sign"), "src", "dst", "root_id")
+    ).collect()}  # a row per relation, here and below
     known = parents.distinct().withColumn("known", F.lit(1))
-    to_customer = F.col("rel").isin([r.name for r in RELATIONS if r.parent == CUSTOMER])
-    per_edge = pairs.join(known, ["rel", "src", "root_id"], "left").groupBy("rel").agg(
-        F.sum("f").alias("edges"),
-        F.sum(F.when(F.col("known").isNull(), F.col("f")).otherwise(F.lit(0))).alias("edges_without_parent"),
-        F.sum(F.abs(F.col("f") - F.col("r"))).alias("reverse_differences"),
-        F.sum(F.when(to_customer & (F.col("src") != F.col("root_id")), F.col("f")).otherwise(F.lit(0))).alias("cross_customer_edges"),
-    )
-    degree = pairs.groupBy("rel", "dst", "root_id").agg(F.sum("f").alias("d"), F.count_if(F.col("f") > 0).alias("sources"))
+    asked = forward.groupBy("rel", "src", "root_id").agg(F.count(F.lit(1)).alias("n")).join(known, ["rel", "src", "root_id"], "left").filter("known is null")
+    lost = {r["rel"]: r["n"] for r in asked.groupBy("rel").agg(F.sum("n").alias("n")).collect()}
+    against = forward.select("rel", "dst", "root_id", F.lit(1).alias("sign")).unionByName(children.withColumn("sign", F.lit(-1)))
+    held = {r["rel"]: r for r in against.groupBy("rel").agg(*_signed_hashes(F.col("sign"), "dst", "root_id")).collect()}
+    single = [r.name for r in RELATIONS if r.child not in EVENTS]
+    repeated = {r["rel"] for r in children.filter(F.col("rel").isin(single)).groupBy("rel", "dst").count().filter("count > 1").select("rel").distinct().collect()}
+
+    differing = [rel for rel, r in both.items() if _unequal(r)]
+    reverse = _reverse_differences(oriented.filter(F.col("rel").isin(differing))) if differing else {}
+    odd = [rel for rel, r in held.items() if _unequal(r) or rel in repeated]
+    orphans = _wrong_children(forward.filter(F.col("rel").isin(odd)), children.filter(F.col("rel").isin(odd))) if odd else {}
+    rows = []
+    for r in RELATIONS:
+        if r.name in held:
+            own = both.get(r.name)
+            counts = (own["edges"], lost.get(r.name, 0), reverse.get(r.name, 0), own["cross_customer_edges"]) if own else (None,) * 4
+            rows.append((f"{r.parent}->{r.child}", *counts, orphans.get(r.name, 0)))
+    return small_table(edge.sparkSession, rows, "relation string, " + ", ".join(f"{c} bigint" for c in EDGE_CHECKS))
+
+
+def _reverse_differences(oriented: DataFrame) -> dict[str, int]:
+    per_edge = oriented.groupBy("rel", "src", "dst", "root_id").agg(F.sum("sign").alias("d"))
+    return {r["rel"]: r["n"] for r in per_edge.groupBy("rel").agg(F.sum(F.abs("d")).alias("n")).collect()}
+
+
+def _wrong_children(forward: DataFrame, children: DataFrame) -> dict[str, int]:
+    degree = forward.groupBy("rel", "dst", "root_id").agg(F.count(F.lit(1)).alias("d"), F.min("src").alias("a"), F.max("src").alias("b"))
     seen = children.groupBy("rel", "dst", "root_id").agg(F.count(F.lit(1)).alias("n"))
     n, d = F.coalesce("n", F.lit(0)), F.coalesce("d", F.lit(0))
-    copies = F.col("rel").isin([r.name for r in RELATIONS if r.child in EVENTS]) & (F.coalesce("sources", F.lit(0)) <= 1)
+    copies = F.col("rel").isin([r.name for r in RELATIONS if r.child in EVENTS]) & F.coalesce(F.col("a") == F.col("b"), F.lit(True))
     # identical events have one source, so only the numbers can differ; any other child is unique and has one edge
     wrong = F.when(copies, F.abs(n - d)).otherwise(F.when((n == 1) & (d == 1), F.lit(0)).otherwise(F.greatest(n, F.lit(1))))
-    per_child = seen.join(degree, ["rel", "dst", "root_id"], "full_outer").groupBy("rel").agg(F.sum(wrong).alias("children_without_one_parent"))
-    names = F.create_map(*[F.lit(x) for r in RELATIONS for x in (r.name, f"{r.parent}->{r.child}")])
-    return per_child.join(per_edge, "rel", "left").select(F.element_at(names, F.col("rel")).alias("relation"), *per_edge.columns[1:], "children_without_one_parent")
+    counted = seen.join(degree, ["rel", "dst", "root_id"], "full_outer").groupBy("rel").agg(F.sum(wrong).alias("n"))
+    return {r["rel"]: r["n"] for r in counted.collect()}
 
 
 def require_valid_forest(nodes: Mapping[str, DataFrame], edge: DataFrame) -> DataFrame:
