@@ -3,7 +3,8 @@
 Pieces are runs of words ending at a content-defined place (a blank or line end whose last letters hash to 0 modulo
 ``PIECE``), so an edit changes only pieces near it. A paragraph is a line; a section ends at an empty line or after a
 paragraph whose digest is 0 modulo ``SECTION``. Every node's digest covers its children's in order, up to the root: equal
-roots mean equal texts, and descending into differing branches only finds what was edited.
+roots mean equal texts, and ``differing`` descends into differing branches only and gives the byte ranges that were edited.
+``dump`` and ``load`` store a whole tree, with full digests and sizes, for comparisons without the texts.
 
 The printed form is ``root;section/paragraph,paragraph/...`` reduced to what a comparison needs: the root, then per
 section its digest, per paragraph its digest and its pieces' digests. Likeness walks two trees: equal roots give 1, equal
@@ -21,7 +22,9 @@ one document is its own next document; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import difflib
 import hashlib
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +41,8 @@ SECTION = 8
 
 
 class Tree:
-    """Digests of a text: ``root``, and sections of (digest, words, paragraphs), paragraphs of (digest, words, pieces)."""
+    """Digests of a text: ``root``, and sections of (digest, words, paragraphs), paragraphs of (digest, words, pieces), pieces
+    of (digest, words, bytes)."""
 
     __slots__ = ("root", "sections", "words")
 
@@ -78,7 +82,7 @@ def tree(text: bytes) -> Tree:
     for end, n in zip(ends.tolist(), words.tolist(), strict=True):
         piece = text[start:end]
         start = end
-        pieces.append((xxhash.xxh3_128_digest(piece), max(n, 1)))
+        pieces.append((xxhash.xxh3_128_digest(piece), max(n, 1), len(piece)))
         count += 1
         if piece.endswith(b"\n") or end == len(text):
             digest = hashlib.blake2b(b"p" + b"".join(p[0] for p in pieces), digest_size=16).digest()
@@ -123,13 +127,55 @@ def likeness(a: Tree, b: Tree) -> float:
         else:
             left, right = [q for p in rest_left for q in p[2]], [q for p in reversed(rest_right) for q in p[2]]
     have = Counter(x[0] for x in right)
-    for digest, n in left:
+    for digest, n, _ in left:
         if have.get(digest, 0):
             have[digest] -= 1
             shared += n
     return min(1.0, 2.0 * shared / (a.words + b.words))
 
 
+def dump(t: Tree) -> str:
+    """The whole tree as JSON: per section and paragraph the pieces' digests, words and bytes; the inner nodes follow."""
+    return json.dumps([t.root.hex(), [[[[d.hex(), n, size] for d, n, size in p[2]] for p in s[2]] for s in t.sections]], separators=(",", ":"))
+
+
+def load(stored: str) -> Tree:
+    root, listed = json.loads(stored)
+    sections = []
+    for s in listed:
+        paragraphs = []
+        for p in s:
+            pieces = [(bytes.fromhex(d), n, size) for d, n, size in p]
+            paragraphs.append((hashlib.blake2b(b"p" + b"".join(x[0] for x in pieces), digest_size=16).digest(), sum(x[1] for x in pieces), pieces))
+        sections.append((hashlib.blake2b(b"s" + b"".join(x[0] for x in paragraphs), digest_size=16).digest(), sum(x[1] for x in paragraphs), paragraphs))
+    return Tree(bytes.fromhex(root), sections)
+
+
+def _bytes(node: tuple) -> int:
+    return sum(_bytes(x) for x in node[2]) if isinstance(node[2], list) else node[2]
+
+
+def differing(a: Tree, b: Tree) -> list[tuple[int, int, int, int]]:
+    """Byte ranges ``(start, stop)`` of a and of b, in order, that stand for each other and differ (one may be empty). Equal
+    branches are passed by; unequal sections are opened to paragraphs, unequal paragraphs to pieces."""
+    out: list[tuple[int, int, int, int]] = []
+
+    def walk(left: list, right: list, at: int, other: int, level: int) -> None:
+        ends = [np.cumsum([0, *map(_bytes, x)]).tolist() for x in (left, right)]
+        match = difflib.SequenceMatcher(None, [x[0] for x in left], [x[0] for x in right], autojunk=False)
+        for kind, i, j, k, l in match.get_opcodes():
+            if kind == "equal":
+                continue
+            if level < 2:
+                walk([y for x in left[i:j] for y in x[2]], [y for x in right[k:l] for y in x[2]], at + ends[0][i], other + ends[1][k], level + 1)
+            else:
+                out.append((at + ends[0][i], at + ends[0][j], other + ends[1][k], other + ends[1][l]))
+
+    if a.root != b.root:
+        walk(a.sections, b.sections, 0, 0, 0)
+    return out
+
+
 def edited(text: str, following: str) -> str:
     n = len(text) // 3
     return text[: len(text) - n] + following[:n]

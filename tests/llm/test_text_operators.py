@@ -309,10 +309,35 @@ def test_fingerprints_of_awkward_rows(spark, docs, ranges):
 def test_an_edit_is_found_in_its_branch():
     lines = [f"line {i} has some words of its own number {i * 7}\n" for i in range(60)]
     a = fingerprint.tree("".join(lines).encode())
+    before = len("".join(lines[:30]))
     lines[30] = "another line altogether with quite other words in it\n"
     b = fingerprint.tree("".join(lines).encode())
-    differing = [p for s in b.sections for p in s[2] if p[0] not in {x[0] for t in a.sections for x in t[2]}]
-    assert len(differing) == 1 and a.root != b.root and 0.95 < fingerprint.likeness(a, b) < 1
+    spans = fingerprint.differing(a, b)
+    assert a.root != b.root and 0.95 < fingerprint.likeness(a, b) < 1
+    assert spans and all(before <= x and before <= y for x, _, y, _ in spans) and max(y for _, _, _, y in spans) <= before + len(lines[30])
+    assert fingerprint.differing(a, a) == []
+
+
+def test_differing_ranges_of_random_edits_and_stored_trees():
+    draw = random.Random(8)
+    for n in range(60):
+        words_ = [draw.choice(["some", "wörd", "here\n", "and", "there", "\n\n", "x"]) for _ in range(draw.randrange(400))]
+        old = " ".join(words_)
+        for _ in range(draw.randrange(4)):
+            at = draw.randrange(len(words_) + 1)
+            words_[at : at + draw.randrange(3)] = [f"new{draw.randrange(99)}"] * draw.randrange(3)
+        new = " ".join(words_) if n % 5 else ""
+        a, b = old.encode(), new.encode()
+        left, right = fingerprint.tree(a), fingerprint.tree(b)
+        spans = fingerprint.differing(left, right)
+        assert (spans == []) == (a == b)
+        i = j = 0
+        for x, y, u, v in [*spans, (len(a), len(a), len(b), len(b))]:  # what lies between the ranges is equal
+            assert i <= x <= y and j <= u <= v and a[i:x] == b[j:u]
+            i, j = y, v
+        again = [fingerprint.load(fingerprint.dump(t)) for t in (left, right)]
+        assert fingerprint.differing(*again) == spans and fingerprint.likeness(*again) == fingerprint.likeness(left, right)
+        assert [fingerprint.printed(t) for t in again] == [fingerprint.printed(left), fingerprint.printed(right)]
 
 
 # ---------------------------------------------------------------------------------------------------- jaccard join
