@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pyarrow as pa
@@ -33,7 +34,8 @@ def get_session(app: str = "riskloom", master: str | None = None, **conf: str) -
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; without it, one below the shared warehouse."""
+    """The shared folder named by ``spark.checkpoint.dir``. Without it, which only a local master may be, a folder below the
+    warehouse; on a cluster nothing says that the warehouse is shared, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -42,7 +44,8 @@ def scratch_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    # the warehouse is shared by all executors, as a temporary folder of this machine would not be
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
