@@ -7,12 +7,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalar as S
 from riskloom.operators.contracts import ContractError
-from riskloom.operators.ordered import group_quantiles
+from riskloom.operators.ordered import group_quantiles, prefix_sums
 from riskloom.operators.rollup import quoted, vocabularies
 from riskloom.session import materialise
 
@@ -188,6 +188,40 @@ def encode_nodes(nodes, train_ids: DataFrame, columns, **fit) -> dict:
 
 
 # ------------------------------------------------------------------------------------------------- ordered categories
+#: Values per column that are looked up in the plan itself; all others are joined.
+FREQUENT = 64
+
+
+def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, code, n), written: every value's 0-based position in its column's order and its count. Any number of
+    values; positions are running sums over ranges, no column is ordered in one task."""
+    counted = category_counts(df, columns).filter(F.col("value").isNotNull()).withColumn("_one", F.lit(1))
+    placed = prefix_sums(materialise(counted, "values"), ["column"], "value", ["_one"])
+    return materialise(placed.select("column", "value", (F.col("_one_cum") - 1).cast("int").alias("code"), "n"), "dictionary")
+
+
+def encode_with_dictionary(df: DataFrame, dictionary: DataFrame, columns: Sequence[str], key: str, frequent: int = FREQUENT) -> DataFrame:
+    """Category codes, unseen values NULL; infinities NULL. ``key`` names each row. The most frequent values of a column are
+    literals, so hot values are never shuffled; cells with other values are joined in long form and come back as one row a
+    key."""
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
+    often: dict[str, dict[str, int]] = {c: {} for c in columns}
+    heads = dictionary.filter(F.col("column").isin(list(columns))).withColumn("_r", rank).filter(F.col("_r") <= frequent)
+    for r in heads.collect():  # at most ``frequent`` rows a column
+        often[r["column"]][r["value"]] = r["code"]
+    rest = F.array(*[
+        F.when(~F.col(c).cast("string").isin(list(often[c])), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for c in columns
+    ])
+    cells = df.select(key, F.inline(F.array_compact(rest)))
+    found = cells.join(dictionary.select("column", "value", "code"), ["column", "value"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("column", "code"))).alias("_codes"))
+    codes = {}
+    for c in columns:
+        table = F.create_map(*[F.lit(x) for pair in often[c].items() for x in pair]) if often[c] else None
+        known = F.lit(None).cast("int") if table is None else F.try_element_at(table, F.col(c).cast("string"))
+        codes[c] = F.coalesce(known, F.try_element_at("_codes", F.lit(c)))
+    return S.finite_all(df).join(found, key, "left").withColumns(codes).drop("_codes")
+
+
 def fit_domains(df: DataFrame, columns: Sequence[str], max_values: int = 100_000) -> dict[str, list[str]]:
     return vocabularies(df, columns, max_values)
 

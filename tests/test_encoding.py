@@ -103,3 +103,20 @@ def test_unseen_category_goes_to_other(spark):
     assert [tuple(r) for r in enc.transform(df).collect()] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
     arr = enc.transform_array(df).first()["features"]
     assert arr == [1.0, 0.0, 0.0]
+
+
+def test_a_dictionary_of_many_values(spark):
+    """200,000 values, one of them in a third of the rows; codes are positions in order, unseen values have none."""
+    value = F.when(F.col("id") % 3 == 0, F.lit("v0000007")).otherwise(F.format_string("v%07d", F.col("id") % 200_000))
+    fit_on = spark.range(300_000).select(F.col("id").alias("k"), value.alias("c"), F.when(F.col("id") % 2 == 0, F.lit("b")).otherwise("a").alias("d"))
+    dictionary = E.fit_dictionary(fit_on, ["c", "d"])
+    names = sorted(r[0] for r in fit_on.select("c").distinct().collect())
+    assert dictionary.count() == len(names) + 2
+    more = fit_on.unionByName(spark.createDataFrame([(-1, "unseen", "b"), (-2, None, None)], "k long, c string, d string"))
+    for frequent in (0, 5):
+        got = E.encode_with_dictionary(more, dictionary, ["c", "d"], "k", frequent)
+        assert got.columns == ["k", "c", "d"] and got.count() == 300_002
+        code = {v: i for i, v in enumerate(names)}
+        for r in got.filter("k < 0 or k % 4999 = 0").collect():
+            own = None if r.k < 0 else "v0000007" if r.k % 3 == 0 else f"v{r.k % 200_000:07d}"
+            assert r.c == (None if own is None else code[own]) and r.d == (1 if r.k == -1 else None if r.k == -2 else int(r.k % 2 == 0))
