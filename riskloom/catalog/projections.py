@@ -136,7 +136,19 @@ def filled_cells(df, cols):
     return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("filled")) for i, c in enumerate(cols)])))
 
 
-@query("p15_column_types")
+RATIOS_SQL = ", ".join(f"{a}/nullif({b},0) as {name}" for name, (a, b) in C.APPLICATION_RATIOS.items())
+PLACEHOLDERS_SQL = ", ".join(f"nullif({c},'{p}') as {c}" for c, p in C.PLACEHOLDERS.items())
+FLAGS_SQL = ", ".join(f"case {c} when 'Y' then 1 when 'N' then 0 end as {c}" for c in C.FLAGS)
+
+
+@query("p15_column_types", rf"""
+with base as (select * replace (nullif(DAYS_EMPLOYED,365243) as DAYS_EMPLOYED, nullif(DAYS_LAST_PHONE_CHANGE,0) as DAYS_LAST_PHONE_CHANGE, {PLACEHOLDERS_SQL}, {FLAGS_SQL}),
+  cast(coalesce(DAYS_EMPLOYED = 365243, false) as int) as DAYS_EMPLOYED_ANOM, list_filter([EXT_SOURCE_1, EXT_SOURCE_2, EXT_SOURCE_3], lambda x: x is not null) as l from application),
+clean as (select * exclude (SK_ID_CURR, TARGET, l), {RATIOS_SQL}, list_avg(l) as EXT_SOURCE_MEAN, case when len(l) > 1 then list_stddev_samp(l) end as EXT_SOURCE_STD, list_min(l) as EXT_SOURCE_MIN,
+  EXT_SOURCE_1*EXT_SOURCE_2*EXT_SOURCE_3 as EXT_SOURCE_PROD, cast(FLAG_DOCUMENT_3+FLAG_DOCUMENT_6+FLAG_DOCUMENT_10 as double) as DOCUMENT_COUNT from base),
+counts as (select count(columns('^(.*)$')) as "\1" from clean), kinds as (select any_value(typeof(columns('^(.*)$'))) as "\1" from clean)
+select column_name, case when kind = 'VARCHAR' then 'categorical' else 'numeric' end as kind, filled
+from (unpivot counts on columns(*) into name column_name value filled) join (unpivot kinds on columns(*) into name column_name value kind) using (column_name)""")
 def column_types(t):
     df = C.clean_application(t.application)
     num, cat = S.split_feature_types(df)
