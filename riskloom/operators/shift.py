@@ -250,7 +250,9 @@ def choose_blend_weights(wide: DataFrame, pairs: Sequence[tuple[str, str]], clie
             for a, b in pairs
         ]
     )
-    val = wide.filter("split = 'val'").select(client, "TARGET", F.inline(options))
+    # few input tasks hold many customers each, and a row becomes pairs x weights cells: rows are spread before that
+    parts = 4 * wide.sparkSession.sparkContext.defaultParallelism
+    val = wide.filter("split = 'val'").repartition(parts).select(client, "TARGET", F.inline(options))
     scored = val.withColumn("w", F.explode(F.array(*[F.lit(w) for w in grid]))).withColumn(
         "score", F.col("w") * F.col("_la") + (F.lit(1.0) - F.col("w")) * F.col("_lb")
     )

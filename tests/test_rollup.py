@@ -95,3 +95,14 @@ def test_bureau_two_levels(spark):
     assert r["BURO_COUNT"] == 2 and r["BURO_BB_DPD_RATE_MAX"] == 0.5 and r["BURO_BB_MONTHS_BALANCE_SIZE_SUM"] == 4.0
     assert r["BURO_BB_MONTHS_BALANCE_MIN_MIN"] == -3.0 and r["BURO_CREDIT_ACTIVE_SOLD_MEAN"] == 0.5
     assert r["BURO_ACTIVE_AMT_CREDIT_SUM_SUM"] == 0.0 and r["BURO_CLOSED_AMT_CREDIT_SUM_SUM"] is None
+
+
+def test_child_rows_are_shuffled_once_and_raw(spark):
+    schema = "SK_ID_CURR bigint, MONTHS_BALANCE int, CNT_INSTALMENT double, CNT_INSTALMENT_FUTURE double, NAME_CONTRACT_STATUS string, SK_DPD int, SK_DPD_DEF int"
+    data = [(1, -1, 2.0, 1.0, "Active", 0, 0), (1, -3, None, 3.0, None, 5, 1), (2, -2, 4.0, 0.0, "Signed", 0, 0), (None, -9, 9.0, 9.0, "Active", 9, 9)]
+    out = C.rollup_pos(spark.createDataFrame(data, schema), {"NAME_CONTRACT_STATUS": ["Active", "Signed"]})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
+    got = {r["SK_ID_CURR"]: r for r in rows(out)}
+    assert set(got) == {1, 2} and got[1]["POS_COUNT"] == 2 and got[1]["POS_MONTHS_BALANCE_MAX"] == -1.0 and got[1]["POS_CNT_INSTALMENT_MEAN"] == 2.0
+    assert got[1]["POS_NAME_CONTRACT_STATUS_NAN_MEAN"] == 0.5

@@ -99,6 +99,14 @@ def test_blend_prefers_smallest_weight_on_ties(spark):
     assert w["w"] == 0.0 and w["val_auc"] == 1.0
 
 
+def test_rows_are_spread_before_the_blend_grid(spark):
+    rows = [(i, 0, "val", i % 2, 0.1 + 0.8 * (i % 7) / 7, 0.1 + 0.8 * (i % 5) / 5) for i in range(70)]
+    df = spark.createDataFrame(rows, "SK_ID_CURR int, client int, split string, TARGET int, prob_a double, prob_b double").coalesce(1)
+    weights = S.choose_blend_weights(df, [("a", "b")])
+    assert "RoundRobinPartitioning" in weights._jdf.queryExecution().executedPlan().toString()
+    assert weights.count() == 1
+
+
 def test_hybrid_is_not_worse_on_validation(spark):
     rng = np.random.default_rng(0)
     n = 600
