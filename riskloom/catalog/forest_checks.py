@@ -201,8 +201,11 @@ def root_customer(t):
 
 
 def edge_nodes(t, policy="placeholder"):
-    fixed = G.resolve_orphans(plain_nodes(t), policy)
-    events = {k: materialise(G.with_event_keys(fixed[k]).select(G.LOAN, G.ROOT, "event_id"), k) for k in G.EVENTS}
+    """Events are keyed and cut to their keys once, before the repair, which then moves narrow rows only."""
+    nodes = plain_nodes(t)
+    keyed = {k: materialise(G.with_event_keys(nodes[k]).select(G.LOAN, G.ROOT, "event_id"), f"keyed-{k}") for k in G.EVENTS}
+    fixed = G.resolve_orphans({**nodes, **keyed}, policy)
+    events = {k: materialise(fixed[k], k) for k in G.EVENTS}
     return {**fixed, G.PREV: materialise(fixed[G.PREV].select(G.LOAN, G.ROOT), "prev"), **events}
 
 

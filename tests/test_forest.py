@@ -157,3 +157,38 @@ def test_bureau_reach(spark, nodes):
     bb = spark.createDataFrame([(100,), (100,), (999,), (999,), (998,)], "SK_ID_BUREAU bigint")
     r = G.bureau_reach(nodes["bureau"], bb, nodes["bureau"]).first()
     assert tuple(r) == (3, 2, 1)
+
+
+def test_few_pairs_to_drop_are_broadcast_however_many_parents_are_unknown(spark, nodes):
+    lost = spark.range(20_000).select((F.col("id") * 7919 + 1000).alias("SK_ID_PREV"), F.lit(1).cast("bigint").alias("SK_ID_CURR"), F.lit(0.0).alias("x"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        fixed = G.resolve_orphans({**nodes, "installment": nodes["installment"].unionByName(lost)})["installment"]
+        plan = fixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert fixed.count() == 20_004
+
+
+def test_validation_joins_nothing_and_a_missing_key_has_no_parent(spark, nodes, monkeypatch):
+    extra = spark.createDataFrame([(None, 1, None), (None, 1, None)], "SK_ID_PREV bigint, SK_ID_CURR bigint, x double")
+    fixed = G.resolve_orphans(nodes)
+    fixed = {**fixed, "prev": G.materialise(fixed["prev"]), "pos": fixed["pos"].unionByName(extra)}
+    full = {**fixed, **{k: G.materialise(G.with_event_keys(fixed[k])) for k in G.EVENTS}}
+    edge = G.materialise(G.edges(full).filter("not (rel = 'has_installment' and src = 10)"))
+
+    def no_join(*_, **__):
+        raise AssertionError("a join")
+
+    monkeypatch.setattr(type(edge), "join", no_join)
+    got = {r["relation"]: r for r in rows(G.validate_forest(full, edge))}
+    assert got["prev->pos"]["edges"] == 4 and got["prev->pos"]["edges_without_parent"] == 2
+    assert got["prev->installment"]["children_without_one_parent"] == 2 and got["prev->installment"]["reverse_differences"] == 2
+
+
+def test_wrong_children_with_missing_keys(spark):
+    e = spark.createDataFrame([("has_bureau", 1, 5, 1), ("has_bureau", 1, None, 1), ("has_pos", 2, None, 1), ("has_pos", 2, 9, 1)], "rel string, src bigint, dst bigint, root_id bigint")
+    c = spark.createDataFrame([("has_bureau", 5, 1), ("has_bureau", None, 1), ("has_bureau", 6, 1), ("has_pos", None, 1), ("has_pos", 9, 1), ("has_pos", 9, 1)], "rel string, dst bigint, root_id bigint")
+    assert G._wrong_children(e, c) == {"has_bureau": 3, "has_pos": 3}
