@@ -1,18 +1,19 @@
 """Byte-level BPE by recursive DuckDB queries inside each task, and decoding by ordered aggregation.
 
-A task cuts its texts into pre-tokens, encodes each distinct one once, and looks the rest up. Encoding is one recursive
-query over token-position rows ``(word, place, token)``: neighbours join the merge table, each word contracts its leftmost
-pair of least rank, and words without a pair drop out, until none is left. Places stay dense within a word (they close up
-after a contraction) and words are apart by an unused place, so the next token is the row at ``place + 1``. The merge
-table holds every split of a token into two tokens, which is what ranking by joined bytes means.
+A task cuts its texts into pieces and these into pre-tokens, encodes each distinct one once, and looks the rest up: a piece
+met before is one lookup, only new pieces are matched against the pattern. Encoding is one recursive query over rows ``(word,
+place, pair)``, a token and the one after it: pairs join the merge table, each word contracts its leftmost pair of least rank,
+and words without a pair drop out, until none is left. The second row of a contracted pair takes the new token and the row
+before the pair has it as its next one; the first row goes, and places before it close up, so no row looks for its neighbour.
+The merge table holds every split of a token into two tokens, which is what ranking by joined bytes means.
 
 Decoding joins token rows to the vocabulary and joins their bytes in order of position, per document.
 
 A word of more than ``LONG_WORD`` bytes (a run of letters without any cut) would make the recursion keep a row per byte and
 step, so it is contracted on its own, by the same rule, with a heap of its pairs: memory in proportion to the word.
 
-Memory: texts are taken in slices; encoded words are kept in two generations of at most ``KEEP`` words, so a task's memory
-does not grow with its input. Everything in Python is bounded by a slice; DuckDB runs on one thread with a memory limit and
+Memory: texts are taken in slices; encoded words and pieces are kept in two generations of at most ``KEEP`` each, and a
+slice's, so a task's memory does not grow with its input. Everything in Python is bounded by a slice; DuckDB runs on one thread with a memory limit and
 no folder to spill to. The codec is closed at the end of its task.
 
 Defined results: null is the empty text, with no tokens; repeated rows are encoded each; any text round-trips; extra
@@ -25,7 +26,8 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 
 from riskloom.llm.common import bounded, slices, text_array, without
 
-#: Words kept in each of two generations.
+#: Words, and pieces, kept in each of two generations.
 KEEP = 100_000
 #: Words that one recursive query encodes.
 WORDS_PER_QUERY = 25_000
@@ -48,19 +50,23 @@ DUCKDB_MEMORY = "300MB"
 #: Where a text may be cut: before a blank that follows no white space. No match of the pattern spans such a place.
 CUT = re.compile(r"(?<=\S)(?= )")
 
-ENCODE = """
-WITH RECURSIVE state(step, word, place, token) AS (
-  SELECT 0, word, place, token FROM start
+#: The token after the last one of a word.
+NONE = 0xFFFFFFFF
+
+ENCODE = f"""
+WITH RECURSIVE state(step, word, place, pair) AS (
+  SELECT 0, word, place, pair FROM start
   UNION ALL
-  SELECT s.step + 1, s.word, s.place - (s.place > b.at)::BIGINT, CASE WHEN s.place = b.at THEN b.merged ELSE s.token END
+  SELECT s.step + 1, s.word, s.place + (s.place < b.at)::BIGINT, CASE s.place - b.at
+    WHEN 1 THEN (b.merged << 32) | (s.pair & {NONE}) WHEN -1 THEN (s.pair >> 32 << 32) | b.merged ELSE s.pair END
   FROM state s JOIN (
     SELECT x.word, min((m.rank << 40) | x.place) & 1099511627775 AS at, min((m.rank << 40) | x.place) >> 40 AS merged
-    FROM state x JOIN state y ON y.place = x.place + 1 JOIN merges m ON m.pair = (x.token << 32) | y.token
+    FROM state x JOIN merges m USING (pair)
     GROUP BY x.word
   ) b ON b.word = s.word
-  WHERE s.place <> b.at + 1
+  WHERE s.place <> b.at
 )
-SELECT word, token FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
+SELECT word, pair >> 32 AS token FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
 ORDER BY place
 """
 DECODE = """
@@ -74,6 +80,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+class Recent:
+    """Token ids by text, in two generations: what was used since the last change, and what was before."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, texts: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of each text; those not known are made, each once."""
+        out = list(map(self.new.get, texts))
+        lacking = dict.fromkeys([x for x, ids in zip(texts, out, strict=True) if ids is None])
+        if lacking:
+            known = {x: ids for x in lacking if (ids := self.old.get(x)) is not None}
+            missing = [x for x in lacking if x not in known]
+            self.new.update(known)
+            self.new.update(zip(missing, make(missing), strict=True))
+            out = list(map(self.new.__getitem__, texts))
+        if len(self.new) > KEEP:
+            self.old, self.new = self.new, {}
+        return out
+
+
 class Codec:
     """Encoder and decoder of one process."""
 
@@ -88,15 +116,13 @@ class Codec:
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
-                a, b = ranks.get(token[:i]), ranks.get(token[i:])
-                if a is not None and b is not None:
+                if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                     left.append(a), right.append(b), merged.append(rank)
         pairs = (np.array(left, np.int64) << 32) | np.array(right, np.int64)
         self._table("merges", pa.table({"pair": pairs, "rank": np.array(merged, np.int64)}))
         # bytes as the characters of the same number: DuckDB joins text, not bytes
         self._table("vocabulary", pa.table({"id": np.array(list(ranks.values()), np.int64), "piece": [t.decode("latin-1") for t in ranks]}))
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(), Recent()
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -124,11 +150,13 @@ class Codec:
     def _encode_part(self, words: list[bytes], wanted: list[int], out: list[bytes]) -> None:
         part = [words[i] for i in wanted]
         sizes = np.fromiter(map(len, part), np.int64, len(part))
-        number = np.repeat(np.arange(len(part), dtype=np.int64), sizes)
-        self._table("start", pa.table({"word": number, "place": np.arange(sizes.sum()) + number, "token": self.byte[np.frombuffer(b"".join(part), np.uint8)]}))
+        token = self.byte[np.frombuffer(b"".join(part), np.uint8)]
+        following = np.append(token[1:], NONE)
+        following[np.cumsum(sizes) - 1] = NONE
+        self._table("start", pa.table({"word": np.repeat(np.arange(len(part)), sizes), "place": np.arange(len(token)), "pair": token << 32 | following}))
         got = self.db.sql(ENCODE).to_arrow_table()
         tokens = got["token"].to_numpy().astype("<u4").tobytes()
-        ends = 4 * np.searchsorted(got["word"].to_numpy(), np.arange(len(part) + 1))
+        ends = (4 * np.searchsorted(got["word"].to_numpy(), np.arange(len(part) + 1))).tolist()
         for i, a, b in zip(wanted, ends[:-1], ends[1:], strict=True):
             out[i] = tokens[a:b]
 
@@ -154,28 +182,28 @@ class Codec:
 
     def close(self) -> None:
         self.db.close()
-        self.new, self.old = {}, {}
-
-    def lookup(self, words: list[str]) -> list[bytes]:
-        new, old = self.new, self.old
-        missing = []
-        for w in words:
-            if w not in new:
-                known = old.get(w)
-                if known is None:
-                    whole = self.ranks.get(w.encode())
-                    if whole is None:
-                        missing.append(w)
-                        continue
-                    known = whole.to_bytes(4, "little")
-                new[w] = known
-        missing = list(dict.fromkeys(missing))
-        new.update(zip(missing, self.encode_words([w.encode() for w in missing]), strict=True))
-        out = [new[w] for w in words]
-        if len(new) > KEEP:
-            self.old, self.new = new, {}
+        self.words, self.pieces = Recent(), Recent()
+
+    def make_words(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        out = [None if r is None else r.to_bytes(4, "little") for r in map(self.ranks.get, raw)]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(missing, self.encode_words([raw[i] for i in missing]), strict=True):
+            out[i] = ids
         return out
 
+    def make_pieces(self, pieces: list[str]) -> list[bytes]:
+        words: list[str] = []
+        ends = []
+        for p in pieces:
+            if (p[1:] if p[:1] == " " else p).isalpha():
+                words.append(p)
+            else:
+                words += self.pattern.findall(p)
+            ends.append(len(words))
+        ids = self.words.get(words, self.make_words)
+        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in pairwise([0, *ends])]
+
     def chunks(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """Pieces cut before single blanks that follow no white space, which no match of the pattern spans: number of the
         distinct piece at each place, distinct pieces, pieces per text."""
@@ -199,11 +227,7 @@ class Codec:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         numbers, pieces, counts = self.chunks(texts)
         used, numbers = np.unique(numbers, return_inverse=True)
-        split: list[list[str]] = []
-        for p in pieces.take(pa.array(used)).to_pylist():
-            split.append([p] if (p[1:] if p[:1] == " " else p).isalpha() else self.pattern.findall(p))
-        ids = iter(self.lookup([w for s in split for w in s]))
-        tokens = [b"".join([next(ids) for _ in s]) for s in split]
+        tokens = self.pieces.get(pieces.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist(), self.make_pieces)
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
         starts = np.cumsum(sizes) - sizes
         every = np.frombuffer(b"".join(tokens), "<u4")

@@ -6,6 +6,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,6 +449,49 @@ def test_very_long_words():
     codec.close()
 
 
+def test_pieces_met_before_are_only_looked_up(monkeypatch):
+    ranks, pattern = q.tokenizer()
+    codec, own = bpe.Codec(ranks, pattern), reference_encoding()
+    found, encoded = [], []
+
+    class Pattern:
+        def findall(self, text):
+            found.append(text)
+            return own_pattern.findall(text)
+
+    own_pattern, encode_words = codec.pattern, codec.encode_words
+    monkeypatch.setattr(codec, "pattern", Pattern())
+    monkeypatch.setattr(codec, "encode_words", lambda words: encoded.extend(words) or encode_words(words))
+    texts = ["Qwzx, it's 12345 xyzzyq", None, "", "qwzx  xyzzyq,\n\nQwzx,"]
+    expected = [own.encode_ordinary(t or "") for t in texts]
+
+    def ids():
+        got, counts = codec.encode(pa.array([t or "" for t in texts], pa.large_string()))
+        return [x.tolist() for x in np.split(got, np.cumsum(counts)[:-1])]
+
+    assert ids() == expected
+    assert found and encoded and len(encoded) == len(set(encoded))
+    found.clear(), encoded.clear()
+    assert ids() == expected
+    assert not found and not encoded
+    # one generation is one slice's: what the last slice used is still known
+    monkeypatch.setattr(bpe, "KEEP", 1)
+    assert all(ids() == expected for _ in range(4))
+    assert not encoded
+    codec.close()
+
+
+def test_recursive_query_on_words_of_few_letters():
+    """Equal pairs side by side, at both ends of a word and across neighbouring words."""
+    draw = random.Random(9)
+    ranks, pattern = q.tokenizer()
+    codec, own = bpe.Codec(ranks, pattern), reference_encoding()
+    words = ["a" * n for n in range(1, 40)] + ["".join(draw.choices(kinds, k=draw.randint(1, 30))) for kinds in ("ab", "es", "etaoin", "éa", "漢字の") for _ in range(200)]
+    for word, ids in zip(words, codec.encode_words([w.encode() for w in words]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(word)
+    codec.close()
+
+
 # ---------------------------------------------------------------------------------------------------------- shards
 def test_shards_are_contiguous_and_equal(spark, docs):
     for frame, total in ((table(spark, "documents"), 16), (docs, 4), (docs, 30)):
