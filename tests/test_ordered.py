@@ -135,3 +135,20 @@ def test_csr_offsets(spark):
     children = spark.createDataFrame([(2,), (2,), (1,), (None,)], "fk int")
     got = {r["k"]: (r["n_children"], r["ptr"]) for r in O.csr_offsets(children, parents, "fk", "k").collect()}
     assert got == {1: (1, 0), 2: (2, 1), 3: (0, 3)}
+
+
+def test_quantiles_of_more_columns_than_are_sketched_together(spark):
+    x = np.random.default_rng(3).integers(0, 40, (300, 2 * O.SKETCHED + 2)).astype(float)
+    names = [f"c{i}" for i in range(x.shape[1])]
+    pdf = pd.DataFrame(x, columns=names).assign(g=np.arange(300) % 2)
+    pdf.loc[:, names[1]] = np.nan  # no value at all
+    pdf.loc[pdf.g == 1, names[O.SKETCHED]] = np.nan  # none in one group
+    frame = spark.createDataFrame(pdf).select("g", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in names])
+    got = O.group_quantiles(frame, ["g"], names, [0.1, 0.5]).collect()
+    assert len(got) == 2 * 2 * len(names)
+    for r in got:
+        v = pdf.loc[pdf.g == r["g"], r["column"]].dropna()
+        assert r["n"] == len(v) and (r["value"] is None if v.empty else r["value"] == pytest.approx(np.quantile(v, r["prob"]), abs=1e-12))
+    cells = O.value_sketches(frame.select(F.array(*names).alias("_x")), [], len(names))
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert cells.count() == len(names) - 1 and plan.count("kll_sketch_agg_double") <= O.SKETCHED  # a block of columns, not a row a cell
